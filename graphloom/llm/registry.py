@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from graphloom.llm.embed_dedup import op9_embedding_near_dedup
+from graphloom.llm.html_extract import op8_html_extraction
+from graphloom.llm.langid import op6_language_id
+from graphloom.llm.packing import op5_best_fit_packing
 from graphloom.llm.simhash import op4_simhash_near_dedup
 from graphloom.llm.topk import OP1_SQL, op1_topk_search
+from graphloom.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op4_simhash_near_dedup, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op4_simhash_near_dedup, op5_best_fit_packing, op6_language_id, op8_html_extraction, op9_embedding_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
