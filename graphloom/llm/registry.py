@@ -9,11 +9,12 @@ from graphloom.llm.packing import op5_best_fit_packing
 from graphloom.llm.simhash import op4_simhash_near_dedup
 from graphloom.llm.topk import OP1_SQL, op1_topk_search
 from graphloom.llm.toxicity import op10_toxicity
+from graphloom.llm.warc import OP7_SQL, op7_warc_revisits
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op4_simhash_near_dedup, op5_best_fit_packing, op6_language_id, op8_html_extraction, op9_embedding_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_topk_search, op4_simhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_warc_revisits, op8_html_extraction, op9_embedding_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL}
+    return {"op1_topk_search": OP1_SQL, "op7_warc_revisits": OP7_SQL}
