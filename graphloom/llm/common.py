@@ -42,6 +42,22 @@ def discard(*frames: DataFrame | None) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+_held: dict = {}
+
+
+def token() -> str:
+    """A name for a model that tasks of one Python worker share."""
+    return uuid.uuid4().hex
+
+
+def cached(name: str, build):
+    """What build() gave the first time in this process; only the last name's is kept, so old models go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
+
+
 def fold(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import fold, load
+from graphloom.llm.common import cached, fold, load, materialize, token
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CACHE = 150_000
+CACHE, FLUSH = 100_000, 50_000
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -30,26 +30,22 @@ def _units(longest: int):
         words: dict[str, Counter] = {}
 
         def out():
-            units: dict[tuple[str, str, str], int] = {}
             for lang, of in words.items():
-                grams = [Counter() for _ in range(longest + 1)]
-                for w, c in of.items():
-                    for n in range(1, longest + 1):
+                for n in range(longest + 1):
+                    units = of if n == 0 else Counter()
+                    for w, c in of.items() if n else ():
                         for g in _grams(w, n):
-                            grams[n][g] += c
-                units |= {(lang, "w", w): c for w, c in of.items()}
-                units |= {(lang, str(n), g): c for n in range(1, longest + 1) for g, c in grams[n].items()}
-            keys = list(units)
-            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array(list(units.values()), pa.int64())], names=["lang", "kind", "unit", "n"])
+                            units[g] += c
+                    same = lambda x, k=len(units): pa.array([x] * k, pa.string())
+                    yield pa.RecordBatch.from_arrays([same(lang), same(str(n or "w")), pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["lang", "kind", "unit", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words.setdefault(lang, Counter()).update(m[0] for m in WORD.finditer(text.as_py().lower()))
-                if sum(map(len, words.values())) > 400_000:
-                    yield out()
+                if sum(map(len, words.values())) > FLUSH:
+                    yield from out()
                     words = {}
-        if words:
-            yield out()
+        yield from out()
 
     return run
 
@@ -104,7 +100,7 @@ class Model:
         return self.langs[best], float(e[best] / e.sum())
 
 
-def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words: int = 150_000, max_grams: int = 150_000) -> Model:
+def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
     """A model of docs (doc_id, text, lang), from the rows whose text and lang are not null.
 
     Bounds: of each language the `per_lang` rows of smallest id hash are read, and the `max_words` words and
@@ -118,10 +114,10 @@ def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words:
         return Model([], longest, [], np.zeros((0, 0), np.float32))
     own = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["limit"])])
     sample = rows.where(order <= own[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_units(longest), "lang string, kind string, unit string, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
-    by_unit = counts.groupBy("kind", "unit").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    counts = sample.mapInArrow(_units(longest), "lang string, kind string, unit string, n long")
     langs = sorted(r["lang"] for r in limits)
-    each = by_unit.where("n > 1").select("kind", "unit", "n", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
+    of = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    each = materialize(counts.groupBy("kind", "unit").agg(F.sum("n").alias("n"), *of).where("n > 1"), "units")
     top = [each.where(k).orderBy(F.desc("n"), "unit", "kind").limit(n).toArrow() for k, n in (("kind = 'w'", max_words), ("kind <> 'w'", max_grams))]
     t = pa.concat_tables(top)
     kinds, units = t["kind"].to_pylist(), t["unit"].to_pylist()
@@ -138,12 +134,15 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     spark = docs.sparkSession
     units = [(k, u) for k, of in (("w", model.words), ("g", model.grams)) for u in of]
     logs = model.logs[[of[u] for of in (model.words, model.grams) for u in of]] if units else model.logs
-    sent = spark.sparkContext.broadcast((model.langs, model.longest, "\0".join(u for _, u in units), len(model.words), logs))
+    name, sent = token(), spark.sparkContext.broadcast((model.langs, model.longest, "\0".join(u for _, u in units), len(model.words), logs))
 
-    def run(batches):
+    def loaded():
         langs, longest, joined, n, logs = sent.value
         names = joined.split("\0") if joined else []
-        own = Model(langs, longest, [("w" if i < n else "g", u) for i, u in enumerate(names)], logs)
+        return Model(langs, longest, [("w" if i < n else "g", u) for i, u in enumerate(names)], logs)
+
+    def run(batches):
+        own = cached(name, loaded)
         for batch in batches:
             found = [own.predict(x.as_py()) for x in batch.column(0)]
             arrays = [*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import fold, load, materialize
 
-BEGIN, CHUNK, HELD = 2, 1 << 22, 1 << 21
+BEGIN, CHUNK, HELD = 2, 1 << 20, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,7 +152,7 @@ def _keyed(order: int):
     return run
 
 
-def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5, *, most: int = 12_000_000) -> DataFrame:
+def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5, *, most: int = 6_000_000) -> DataFrame:
     """docs' `columns`, lang, n (characters) and nll (sum of negative log probabilities) for every row of docs (lang, text).
 
     Up to `most` n-grams (12 bytes each) the model goes to the tasks as a sorted array; a larger one is joined with
