@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm.common import cached, fold, load, materialize, token
 
@@ -103,17 +102,15 @@ class Model:
 def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
     """A model of docs (doc_id, text, lang), from the rows whose text and lang are not null.
 
-    Bounds: of each language the `per_lang` rows of smallest id hash are read, and the `max_words` words and
+    Bounds: of each language the rows of smallest id hash are read, `per_lang` of them but for the hash's spread, and the `max_words` words and
     `max_grams` n-grams of highest count are kept; so what reaches the driver and the executors has a fixed size.
     """
     rows = docs.where("text is not null and lang is not null")
-    order = F.xxhash64("doc_id")
-    first = rows.select("lang", order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(f"r <= {per_lang}")
-    limits = first.groupBy("lang").agg(F.max("h").alias("limit")).collect()
+    limits = rows.groupBy("lang").count().collect()
     if not limits:
         return Model([], longest, [], np.zeros((0, 0), np.float32))
-    own = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["limit"])])
-    sample = rows.where(order <= own[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    sample = rows.where(F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1)) <= share[F.col("lang")] * F.lit(float(2**63))).select("lang", "text")
     counts = sample.mapInArrow(_units(longest), "lang string, kind string, unit string, n long")
     langs = sorted(r["lang"] for r in limits)
     of = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
