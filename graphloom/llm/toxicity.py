@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm.common import fold, load, materialize
 
@@ -178,14 +177,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, max_words: int = 100_000, prior: float = 1000.0, clear: float = 3.0, drift: float = 0.05) -> Model:
     """A model from docs (doc_id, text) with labels (doc_id, toxic); several labels of a document count as toxic if one is.
 
-    Bounds: of each class the `per_class` labelled documents of smallest id hash are read, and of the words and
+    Bounds: of each class the labelled documents of smallest id hash are read, `per_class` of them but for the hash's
+    spread, and of the words and
     prefixes whose log-odds lie `clear` standard errors above none the `max_words` clearest are kept. One half of that sample gives the token counts; the other half, which the counts have
     not seen, gives the extreme-value law and the weights.
     """
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
-    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
-    sample = own.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).where(f"r <= {per_class}").select("doc_id", "toxic")
-    # At most 2 * per_class rows, so they are safe to broadcast.
+    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = own.groupBy("toxic").count().collect()
+    if not sizes:
+        return Model([], np.zeros(0), drift, weights=(-30.0, 0.0, 0.0))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["toxic"], min(1.0, per_class / r["count"]))])
+    sample = own.where(F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1)) <= share[F.col("toxic")] * F.lit(float(2**63)))
+    # About 2 * per_class ids at most, each once, so they are safe to broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     # A passage that stands in many copies of a document is no evidence of many: copies count once.
     sketches = texts.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, sketch long")
