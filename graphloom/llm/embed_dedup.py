@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import load, local_roots, materialize
 from graphloom.llm.components import connected_components
 
-HASH_BITS, CHUNK = 63, 1024
+HASH_BITS, LEAST_CHUNK = 63, 128
 
 
 def _planes(dim: int, passes: int, seed: int) -> np.ndarray:
@@ -125,7 +125,9 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.98, passes: int = 1
     dealt = signed.repartitionByRange("label", F.size("v"), "pass", "sig", "rep").sortWithinPartitions("label", F.size("v"), "pass", "sig", "rep")
     roots = connected_components(dealt.mapInArrow(_window_links(threshold, window), "a long, b long"))
     member = materialize(reps.join(roots.withColumnRenamed("root", "group"), "node"), "members")
-    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).alias("n"))
+    # Chunks grow with the square root of the group, so that neither a chunk nor the number of cells gets large.
+    chunk = F.greatest(F.lit(float(LEAST_CHUNK)), 4 * F.sqrt(F.count("*")))
+    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / chunk).alias("n"))
     chunked = member.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), "n"))
     both = chunked.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     both = both.select("group", F.least("chunk", "with").alias("own"), F.greatest("chunk", "with").alias("other"), "chunk", F.col("node").alias("rep"), "copies", "v")
