@@ -178,9 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, max_word
     """A model from docs (doc_id, text) with labels (doc_id, toxic); several labels of a document count as toxic if one is.
 
     Bounds: of each class the labelled documents of smallest id hash are read, `per_class` of them but for the hash's
-    spread, and of the words and
-    prefixes whose log-odds lie `clear` standard errors above none the `max_words` clearest are kept. One half of that sample gives the token counts; the other half, which the counts have
-    not seen, gives the extreme-value law and the weights.
+    spread, and of the words and prefixes whose log-odds lie `clear` standard errors above none the `max_words`
+    clearest are kept. One half of that sample gives the token counts; the other half, which the counts have not
+    seen, gives the extreme-value law and the weights.
     """
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, max_word
     t = z.where(f"z >= {clear}").orderBy(F.desc("z"), "word").limit(max_words).toArrow()
     z2 = t["z"].to_numpy().astype(float) ** 2
     scores = t["delta"].to_numpy().astype(float) * z2 / (z2 + clear**2)  # doubtful log-odds shrink towards none
-    clean, total = t["n0"].to_numpy().astype(float), max(n0, 1)
+    clean, total = t["n0"].to_numpy().astype(float) + 0.5, max(n0, 1) + 0.5 * len(t)
     tokens, shares = np.append(scores - drift, -drift), np.append(clean, max(total - clean.sum(), 0)) / total
     model = Model(t["word"].to_pylist(), scores, drift, _rate(tokens, shares))
     sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
