@@ -22,7 +22,7 @@ def lane(id_: Column, lanes: int = 16) -> Column:
 
 
 def get_property(props: Column, name: str, kind: str) -> Column:
-    """A property as the given type; null if it is missing or of another type."""
+    """A property as the given type; null if it is missing or cannot be read as that type."""
     if kind not in TYPES:
         raise ValueError(f"no property type: {kind}")
     return F.try_variant_get(props[name], "$", kind)
