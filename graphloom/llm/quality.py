@@ -67,11 +67,22 @@ def _slices(rows: list[tuple]):
         yield part
 
 
-def _gathered(order: int):
-    """Rows (lang, trusted, text) to (lang, g, n): every n-gram of the task's texts and its count in trusted ones."""
+def _gathered(order: int, ids=None):
+    """Rows (lang, trusted, text) to (lang, g, n): every n-gram of the task's texts and its count in trusted ones.
+
+    With ids, a broadcast of the trusted ids in order, the second column is the document's id instead."""
 
     def run(batches):
         held: dict[str, list] = {}
+        known = None if ids is None else ids.value
+
+        def flags(column):
+            if known is None:
+                return column.to_pylist()
+            own = column.fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            found = known[at] == own if len(known) else np.zeros(len(own), bool)
+            return (found & column.is_valid().to_numpy(zero_copy_only=False)).tolist()
 
         def out(lang):
             keys, n, g = held.pop(lang)
@@ -79,7 +90,7 @@ def _gathered(order: int):
 
         for batch in batches:
             by: dict[str, list] = {}
-            for lang, trusted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for lang, trusted, text in zip(batch.column(0).to_pylist(), flags(batch.column(1)), batch.column(2), strict=True):
                 by.setdefault(lang, []).append((text.as_py(), trusted))
             for lang, rows in by.items():
                 for part in _slices(rows):
@@ -98,15 +109,17 @@ def _gathered(order: int):
     return run
 
 
-def model(docs: DataFrame, order: int = 5) -> DataFrame:
+def model(docs: DataFrame, order: int = 5, ids=None) -> DataFrame:
     """(lang, g, logp) for every n-gram of docs (lang, trusted, text), seen in trusted text or not.
 
+    With ids, a broadcast of the trusted ids in order, docs are (lang, id, text).
+
     p(w | context) of order n is (c - D(c)) / c(context) + gamma(context) p(w | shorter context), with the three
     discounts of each language and order from its counts of counts, true counts at the highest order and numbers of
     distinct left neighbours below it, and a uniform share over the seen symbols and one more at the end. Counts
     and contexts are joined by n-gram, so all work is spread by the hash of language and n-gram.
     """
-    top = materialize(docs.mapInArrow(_gathered(order), "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("c")), "grams")
+    top = materialize(docs.mapInArrow(_gathered(order, ids), "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("c")), "grams")
     by_order = {order: top}
     for n in range(order - 1, 0, -1):
         shorter = by_order[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c"))
@@ -201,7 +214,7 @@ def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5,
     return source.mapInArrow(run, f"{kept + ', ' if kept else ''}lang string, n long, nll double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: int = 5, weight: int = 50, tail: float = 0.005, above: float = 0.2, below: float = 0.1, held: int = 5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: int = 5, weight: int = 50, tail: float = 0.005, above: float = 0.2, below: float = 0.1, held: int = 5, most_ids: int = 8_000_000) -> DataFrame:
     """docs' `columns`, perplexity, low, high and kept for every row of docs (doc_id, lang, text).
 
     Trusted are the documents that labels (doc_id, quality) call 1 and never 0. One in `held` of them, by id hash, is
@@ -211,13 +224,22 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: i
     language less `below` and the quantile 1 - `tail` of the kept-out ones plus `above`: what is higher is unlike
     trusted text, what is lower is repetitive. Null lang is a language of its own; null text counts as empty; a
     language without trusted documents on either side rejects nothing there.
+
+    Up to `most_ids` trusted ids (8 bytes each) go to the counting tasks as a sorted array, so that no text is
+    shuffled; more of them are joined. Scoring needs no labels: only its few columns meet them.
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.min("quality") > 0, F.lit(False)).alias("trusted"))
-    trusted = trusted.where("trusted").select(F.col("doc_id").alias("_id_"), F.when(fold("doc_id", held) == 0, "out").otherwise("in").alias("part"))
-    tidy = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("_doc_"), *columns)
-    marked = tidy.join(trusted, F.col("_doc_") == F.col("_id_"), "left").drop("_id_", "_doc_")
-    logp = model(marked.select("lang", F.coalesce(F.col("part") == "in", F.lit(False)).alias("trusted"), "text"), order)
-    found = materialize(score(marked, logp, [*columns, "part"], order), "scores")
+    trusted = trusted.where("trusted").select(F.col("doc_id").cast("long").alias("_id_"), F.when(fold("doc_id", held) == 0, "out").otherwise("in").alias("part"))
+    tidy = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("_doc_"), *columns)
+    into = materialize(trusted, "trusted").where("part = 'in'").select("_id_")
+    if into.count() <= most_ids:
+        ids = np.sort(into.toArrow()["_id_"].to_numpy())
+        logp = model(tidy.select("lang", "_doc_", "text"), order, docs.sparkSession.sparkContext.broadcast(ids))
+    else:
+        marked = tidy.select("lang", "_doc_", "text").join(into, F.col("_doc_") == F.col("_id_"), "left")
+        logp = model(marked.select("lang", F.col("_id_").isNotNull().alias("trusted"), "text"), order)
+    scores = score(tidy, logp, [*columns, "_doc_"], order)
+    found = materialize(scores.join(trusted, F.col("_doc_") == F.col("_id_"), "left").drop("_id_", "_doc_"), "scores")
     means = found.where("part = 'out'").groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     # One row a language: safe to broadcast.
     with_mean = found.join(F.broadcast(means), "lang", "left")

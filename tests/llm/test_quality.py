@@ -85,6 +85,8 @@ def test_decisions_and_odd_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 2)] + [(200, 0), (200, 1), (None, 1), (7, None)], "doc_id long, quality int")
     got = [(r.doc_id, r.kept) for r in quality.classify(df, labels, ["doc_id"], order=4).collect()]
     assert len(got) == len(docs)
+    joined = quality.classify(df, labels, ["doc_id"], order=4, most_ids=0)
+    assert sorted(map(str, got)) == sorted(str((r.doc_id, r.kept)) for r in joined.collect())
     assert {i for i, kept in got if not kept} == {200}
     assert quality.classify(df.where("doc_id = -1"), labels, ["doc_id"]).count() == 0
     assert all(r.kept for r in quality.classify(df, labels.where("doc_id = -1"), ["doc_id"]).collect())
