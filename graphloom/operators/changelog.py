@@ -34,10 +34,9 @@ def resolve(log: DataFrame) -> DataFrame:
     """
     bases = _bases(log).where("base_op = 'PUT'")
     patches = log.where("op = 'PATCH'").select("id", "seq", "props").join(bases.select("id", "base"), "id").where("seq > base")
-    added = patches.groupBy("id").agg(F.sum(F.size("props")).alias("sets"), F.max("seq").alias("last"))
-    keys = patches.select("id", "seq", F.explode("props").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))
-    new = keys.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("new"))
-    found = bases.join(added, "id", "left").join(new, "id", "left")
+    keys = patches.select("id", "seq", F.explode_outer("props").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"), F.count("k").alias("n"), F.max("seq").alias("last"))
+    new = keys.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("new"), F.sum("n").alias("sets"), F.max("last").alias("last"))
+    found = bases.join(new, "id", "left")
     kept = F.when(F.col("new").isNull(), F.col("base_props")).otherwise(F.map_concat(F.map_filter("base_props", lambda k, _: ~F.map_contains_key("new", k)), "new"))
     start = F.coalesce("base_version", 1 + F.size("base_props"))
     return found.select("id", kept.alias("props"), (start + F.coalesce("sets", F.lit(0))).cast("long").alias("version"), F.coalesce("last", "base").alias("seq"))

@@ -60,10 +60,13 @@ def neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | str, direct
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(id, out_degree, in_degree) of every end of an edge; an edge id counts once a node."""
-    ends = edges.select(F.col("src").alias("node"), "id", F.lit(1).alias("out")).union(edges.select("dst", "id", F.lit(0)))
-    once = ends.distinct()
-    return once.groupBy(F.col("node").alias("id")).agg(F.sum("out").alias("out_degree"), F.sum(1 - F.col("out")).alias("in_degree"))
+    """(id, out_degree, in_degree) of every end of an edge; a repeated edge row counts once.
+
+    Edges meet by their id for that, and the two ends are then summed before they are shuffled by node: a hub is no
+    single task."""
+    once = edges.select("id", "src", "dst").distinct()
+    ends = once.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e"))
+    return ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.out").cast("long").alias("out_degree"), F.sum(1 - F.col("e.out")).cast("long").alias("in_degree"))
 
 
 def adjacency(edges: DataFrame, end: str = "src") -> DataFrame:
