@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import load
+from graphloom.llm.common import cached, load
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-PART_CHARS, KNOWN, LONG_UNIT = 1 << 24, 500_000, 4096
+PART_CHARS, KNOWN, PAIRS, LONG_UNIT = 1 << 22, 200_000, 250_000, 4096
 #: Fixed values of the model format: kinds of pieces and the merge-rank model type.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE, BPE = 1, 2, 3, 4, 5, 6, 2
 
@@ -46,6 +46,8 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         self.merges = model.trainer_spec.model_type == BPE
         self.surface, self.prefix = model.trainer_spec.unk_surface or " ⁇ ", model.normalizer_spec.add_dummy_prefix
+        spell = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else (self.surface if kind == UNKNOWN else p.replace(MARK, " ")).encode()
+        self.spelled = [spell(p, kind) for p, kind in self.pieces]
         self.lowest = min(self.score.values(), default=0.0) - 10.0
         self.known: dict[str, bytes] = {}  # words to little-endian 32-bit ids
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -79,7 +81,7 @@ class Codec:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the joined text gives just a and b; with an empty a, whether it gives b alone."""
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[a, b] = out = self.merged(a + b) == ([a, b] if a else [b])
         return out
@@ -140,29 +142,18 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = self.units(texts)
-        new = sorted({u for units in split for u in units if u not in self.known})
-        self.learn(new)
+        distinct = {u for units in split for u in units}
+        self.learn(sorted(u for u in distinct if u not in self.known))
         known = self.known
         out = [np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4") for units in split]
-        if len(known) > KNOWN:
-            self.known = {}
+        if len(known) > KNOWN:  # what these texts don't hold goes
+            self.known = {u: known[u] for u in distinct} if len(distinct) <= KNOWN else {}
         return out
 
     def decode(self, ids) -> str:
         """The text of ids; byte pieces join to UTF-8, control pieces vanish, unknown ones show as the model's mark."""
-        out, raw = [], bytearray()
-        for i in ids:
-            piece, kind = self.pieces[i] if 0 <= i < len(self.pieces) else ("", UNKNOWN)
-            if kind == BYTE:
-                raw.append(int(piece[3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if kind != CONTROL:
-                out.append(self.surface if kind == UNKNOWN else piece)
-        text = "".join(out) + raw.decode("utf-8", "replace")
-        text = text.replace(MARK, " ")
+        table, other = self.spelled, self.surface.encode()
+        text = b"".join([table[i] if 0 <= i < len(table) else other for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -190,7 +181,7 @@ def encode(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
     """
 
     def run(batches):
-        codec = Codec(path)
+        codec = cached(f"pieces of {path}", lambda: Codec(path))
         for batch in batches:
             texts = [x.as_py() or "" for x in batch.column(0)]
             for a, b in _parts(texts):
@@ -208,7 +199,7 @@ def decode(rows: DataFrame, path: str, columns: list[str]) -> DataFrame:
     """rows' `columns` and decoded string for every row of rows (ids); null ids count as none, null items as unknown."""
 
     def run(batches):
-        codec = Codec(path)
+        codec = cached(f"pieces of {path}", lambda: Codec(path))
         for batch in batches:
             texts = [codec.decode(-1 if i is None else i for i in (x.as_py() or ())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*columns, "decoded"])
