@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import load, materialize
 
 #: Headers that a 304 must not change in the stored response (RFC 9111, section 3.2, and framing).
-KEPT = ("connection", "content-encoding", "content-length", "content-location", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "set-cookie", "te", "trailer", "transfer-encoding", "upgrade")
+KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 RECORD = "warc_type string, target_uri string, warc_date string, record_id string, profile string, refers_to string, http_status int, http_headers map<string,string>, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
