@@ -1,7 +1,8 @@
 """The change log and its resolution: last write wins, merges on top of the last whole record, tombstones.
 
 log: id string, seq long, op 'PUT' | 'PATCH' | 'DELETE', props map<string,variant>, and optionally version long for a
-PUT that carries one. seq is unique by id and is the only order. A PUT replaces the record, a PATCH sets its keys and
+PUT that carries one. Other columns (labels of nodes; src, dst and type of edges) are fixed parts of a record, as its
+last PUT gave them. seq is unique by id and is the only order. A PUT replaces the record, a PATCH sets its keys and
 adds one to the version for each, a DELETE removes it; a PATCH of an absent record is rejected.
 """
 
@@ -19,16 +20,20 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_")).select(key, "_.*")
 
 
+def fixed(log: DataFrame) -> list[str]:
+    return [c for c in log.columns if c not in ("id", "seq", "op", "props", "version")]
+
+
 def _bases(log: DataFrame) -> DataFrame:
-    """Of each id the last PUT or DELETE: (id, base, base_op, base_props, base_version)."""
+    """Of each id the last PUT or DELETE: (id, base, base_op, base_props, base_version, the fixed columns)."""
     version = F.col("version") if "version" in log.columns else F.lit(None).cast("long")
-    whole = log.where("op <> 'PATCH'").select("id", "seq", F.struct("seq", "op", "props", version.alias("version")).alias("r"))
+    whole = log.where("op <> 'PATCH'").select("id", "seq", F.struct("seq", "op", "props", version.alias("version"), *fixed(log)).alias("r"))
     last = whole.groupBy("id").agg(F.max_by("r", "seq").alias("r"))
-    return last.select("id", F.col("r.seq").alias("base"), F.col("r.op").alias("base_op"), F.col("r.props").alias("base_props"), F.col("r.version").alias("base_version"))
+    return last.select("id", F.col("r.seq").alias("base"), F.col("r.op").alias("base_op"), F.col("r.props").alias("base_props"), F.col("r.version").alias("base_version"), *[F.col(f"r.{c}").alias(c) for c in fixed(log)])
 
 
 def resolve(log: DataFrame) -> DataFrame:
-    """The live records: (id, props, version, seq).
+    """The live records: (id, props, version, seq, the fixed columns).
 
     Only aggregates and one join by id: a record with a long history is summed before it is shuffled.
     """
@@ -39,7 +44,7 @@ def resolve(log: DataFrame) -> DataFrame:
     found = bases.join(new, "id", "left")
     kept = F.when(F.col("new").isNull(), F.col("base_props")).otherwise(F.map_concat(F.map_filter("base_props", lambda k, _: ~F.map_contains_key("new", k)), "new"))
     start = F.coalesce("base_version", 1 + F.size("base_props"))
-    return found.select("id", kept.alias("props"), (start + F.coalesce("sets", F.lit(0))).cast("long").alias("version"), F.coalesce("last", "base").alias("seq"))
+    return found.select("id", kept.alias("props"), (start + F.coalesce("sets", F.lit(0))).cast("long").alias("version"), F.coalesce("last", "base").alias("seq"), *fixed(log))
 
 
 def rejected(log: DataFrame) -> DataFrame:
@@ -57,8 +62,8 @@ def status(log: DataFrame, requested: DataFrame) -> DataFrame:
 
 def recover(snapshot: DataFrame, log: DataFrame, upto: int) -> DataFrame:
     """The state of snapshot (id, props, version, seq; all changes with seq <= upto) and the log after it."""
-    base = snapshot.select("id", "seq", F.lit("PUT").alias("op"), "props", "version")
-    tail = log.where(F.col("seq") > upto).select("id", "seq", "op", "props", F.lit(None).cast("long").alias("version"))
+    base = snapshot.select("id", "seq", F.lit("PUT").alias("op"), "props", "version", *fixed(log))
+    tail = log.where(F.col("seq") > upto).select("id", "seq", "op", "props", F.lit(None).cast("long").alias("version"), *fixed(log))
     return resolve(base.unionByName(tail))
 
 
@@ -82,6 +87,12 @@ def checked_version(state: DataFrame, patches: DataFrame) -> DataFrame:
     return patches.join(state.select("id", F.col("version").alias("_v_")), "id").where("_v_ = expected_version").drop("_v_")
 
 
+def set_property(rows: DataFrame, name: str, value) -> DataFrame:
+    """One property set on every row; the version rises by one even if the value is the same."""
+    kept = F.map_filter("props", lambda k, _: k != name)
+    return rows.withColumn("props", F.map_concat(kept, F.create_map(F.lit(name), value.cast("variant")))).withColumn("version", F.col("version") + 1)
+
+
 def valid_props(props):
     """Whether every value has one of the five property types."""
     names = {"string": "STRING", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "binary": "BINARY"}

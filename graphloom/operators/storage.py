@@ -79,8 +79,11 @@ class Store:
     the pointer last, so a lost writer leaves the old state. Works on any file system that Spark reaches.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, fixed: str = ""):
+        """fixed: the records' fixed columns as a schema, such as "src string, dst string, type string"."""
         self.spark, self.path = spark, path.rstrip("/")
+        self.schema = "id string, seq long, op string, props map<string,variant>" + (f", {fixed}" if fixed else "")
+        self.columns = ["id", "seq", "op", "props", *(x.split()[0] for x in fixed.split(", ") if x)]
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
 
     def _at(self, *parts: str):
@@ -92,7 +95,7 @@ class Store:
     def manifest(self) -> dict:
         fs, at = self._fs(), self._at("MANIFEST.json")
         if not fs.exists(at):
-            return {"version": 0, "snapshot": None, "upto": -1, "segments": [], "batches": []}
+            return {"version": 0, "snapshot": None, "upto": -1, "last": -1, "segments": [], "batches": []}
         rows = self.spark.read.text(at.toString(), wholetext=True).first()
         return json.loads(rows[0])
 
@@ -114,18 +117,19 @@ class Store:
         if batch is not None and batch in found["batches"]:
             return False
         name = f"log/{uuid.uuid4().hex}"
-        log.select("id", "seq", "op", "props").write.parquet(posixpath.join(self.path, name))
+        log.select(*self.columns).write.parquet(posixpath.join(self.path, name))
         found["segments"].append(name)
         if batch is not None:
             found["batches"].append(batch)
-        self.commit(found)
+        top = self.spark.read.schema(self.schema).parquet(posixpath.join(self.path, name)).agg(F.max("seq")).first()[0]
+        self.commit({**found, "last": max(found["last"], -1 if top is None else top)})
         return True
 
     def log(self, after: int = -1) -> DataFrame:
         found = self.manifest()
         if not found["segments"]:
-            return self.spark.createDataFrame([], "id string, seq long, op string, props map<string,variant>")
-        return self.spark.read.parquet(*[posixpath.join(self.path, s) for s in found["segments"]]).where(F.col("seq") > after)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[posixpath.join(self.path, s) for s in found["segments"]]).where(F.col("seq") > after)
 
     def state(self) -> DataFrame:
         """The live records: snapshot and later log rows."""

@@ -233,6 +233,34 @@ def recover_state(spark, d):
     return _state(changelog.recover(snapshot, log, upto // 2))
 
 
+@query("""with lg as (select concat('placed:', cast(o_orderkey as varchar(20))) as id, 0 as seq, 'PUT' as op, o_custkey as c, o_orderkey as o from orders
+union all select concat('placed:', cast(o_orderkey as varchar(20))), 1, 'PUT', o_custkey + 1, o_orderkey from orders where o_orderstatus = 'F'
+union all select concat('placed:', cast(o_orderkey as varchar(20))), 2, 'DELETE', null, null from orders where o_orderstatus = 'P'),
+b as (select id, arg_max(op, seq) as op, max(seq) as seq, max_by(struct_pack(c := c, o := o), seq) as r from lg group by id)
+select id, concat('customer:', cast(r.c as varchar(20))) as src, concat('order:', cast(r.o as varchar(20))) as dst, 'PLACED' as type, cast(seq as bigint) as seq from b where op = 'PUT'""")
+def edge_log_replay(spark, d):
+    """Edges put, put again under other ends, and deleted: each stands under its last ends alone."""
+    o = table(spark, d, "orders")
+    from graphloom.sources.tables import variants
+
+    row = lambda df, seq, op, c: df.select(key("placed", "o_orderkey").alias("id"), F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), variants({}).alias("props"), F.concat(F.lit("customer:"), c.cast("string")).alias("src"), key("order", "o_orderkey").alias("dst"), F.lit("PLACED").alias("type"))
+    log = row(o, 0, "PUT", F.col("o_custkey")).union(row(o.where("o_orderstatus = 'F'"), 1, "PUT", F.col("o_custkey") + 1)).union(row(o.where("o_orderstatus = 'P'"), 2, "DELETE", F.col("o_custkey")))
+    return changelog.resolve(log).select("id", "src", "dst", "type", "seq")
+
+
+@query(f"with {LOG} select id, max(seq) as seq, arg_max(op, seq) as op from lg where op <> 'PATCH' group by id")
+def scan_entries(spark, d):
+    """The last whole entry of every key, tombstones included."""
+    return changelog.latest(events_log(spark, d).where("op <> 'PATCH'").select("id", "seq", "op"), "id", "seq")
+
+
+@query(f"""with {E}, p as (select distinct src, dst from e where type = 'LOCATED_IN' and src like 'supplier:%')
+select a.src as a, b.src as b, count(*) as n from p a join p b on a.dst = b.dst and a.src < b.src group by 1, 2""")
+def common_neighbors(spark, d):
+    e = edges(spark, d, "LOCATED_IN").where(F.col("src").startswith("supplier:"))
+    return graph.common_neighbors(e, "LOCATED_IN")
+
+
 @query(f"""with {LOG} select id, seq, 'node not found' as reason from (
 select *, last_value(case when op <> 'PATCH' then op end ignore nulls) over (partition by id order by seq rows between unbounded preceding and 1 preceding) as state from lg)
 where op = 'PATCH' and coalesce(state, 'DELETE') = 'DELETE'""")
