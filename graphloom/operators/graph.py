@@ -122,9 +122,3 @@ def delete_cascade(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple
     ids = gone.select("id").distinct()
     end = lambda e: ids.select(F.col("id").alias(e))
     return nodes.join(ids, "id", "left_anti"), edges.join(end("src"), "src", "left_anti").join(end("dst"), "dst", "left_anti")
-
-
-def common_neighbors(edges: DataFrame, kind: str) -> DataFrame:
-    """(a, b, n): pairs of sources that share targets of an edge type, each target's pairs counted once."""
-    e = edges.where(F.col("type") == kind).select("src", "dst").distinct()
-    return e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))

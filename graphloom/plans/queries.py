@@ -254,13 +254,6 @@ def scan_entries(spark, d):
     return changelog.latest(events_log(spark, d).where("op <> 'PATCH'").select("id", "seq", "op"), "id", "seq")
 
 
-@query(f"""with {E}, p as (select distinct src, dst from e where type = 'LOCATED_IN' and src like 'supplier:%')
-select a.src as a, b.src as b, count(*) as n from p a join p b on a.dst = b.dst and a.src < b.src group by 1, 2""")
-def common_neighbors(spark, d):
-    e = edges(spark, d, "LOCATED_IN").where(F.col("src").startswith("supplier:"))
-    return graph.common_neighbors(e, "LOCATED_IN")
-
-
 @query(f"""with {LOG} select id, seq, 'node not found' as reason from (
 select *, last_value(case when op <> 'PATCH' then op end ignore nulls) over (partition by id order by seq rows between unbounded preceding and 1 preceding) as state from lg)
 where op = 'PATCH' and coalesce(state, 'DELETE') = 'DELETE'""")
