@@ -18,6 +18,7 @@ HOLDERS = frozenset("article main section div td body html".split())
 SKIPPED = frozenset("nav header footer aside form script style noscript template head title iframe object svg canvas math button select option textarea datalist dialog menu audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MARKS = frozenset("ad ads adv advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+ABOUT = frozenset("has hide is js no with without".split())
 #: What an unclosed page part can't hold: an article or main that starts inside one ends it.
 OUTER = frozenset("nav header footer form aside menu".split())
 NAMES = re.compile(r"[^a-z0-9]+")
@@ -34,8 +35,11 @@ def _unwanted(tag: str, attrs) -> bool:
         return False
     for k, v in attrs:
         v = (v or "").lower()
-        if k in ("class", "id") and not MARKS.isdisjoint(NAMES.split(v)):
-            return True
+        if k in ("class", "id"):
+            words = NAMES.split(v)
+            # A mark after one of these says something of the page, as in "no-sidebar".
+            if any(w in MARKS and (i == 0 or words[i - 1] not in ABOUT) for i, w in enumerate(words)):
+                return True
         if k == "role" and v in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):

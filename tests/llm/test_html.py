@@ -28,6 +28,10 @@ def test_parts_that_are_no_content():
     assert extract(PAGE.replace("{}", inside)) == "Real text stays here.\n\nAnd here."
 
 
+def test_marks_that_speak_of_the_page():
+    assert extract('<body><div class="content no-sidebar"><p>Body text of this page.</p></div><div class="left-sidebar">x</div>') == "Body text of this page."
+
+
 def test_pages_without_article_use_the_ratio():
     menu = "<div>" + "".join(f'<div><a href="/{i}">Link {i}</a></div>' for i in range(12)) + "</div>"
     body = "<div><div>" + "".join(f"<p>{'Many words of running text stand in this block. ' * 4}</p>" for _ in range(4)) + "<p>Short.</p>" + f"<p>{'More running text closes the page as it should. ' * 3}</p></div></div>"
