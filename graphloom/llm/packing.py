@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import load, materialize
+from graphloom.llm.common import cached, load, materialize
 
 #: Fixed values of the byte-level BPE vocabulary: the pattern that splits a text before merging, and its special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -104,7 +104,7 @@ def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(docs: DataFrame, most: int, end: int, path: str, ranks: str | None) -> DataFrame:
     def run(batches):
-        encoder = Encoder(path, ranks)
+        encoder = cached(f"ids of {path} {ranks}", lambda: Encoder(path, ranks))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
