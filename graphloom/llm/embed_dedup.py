@@ -114,13 +114,14 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.98, passes: int = 1
     """
     finite = F.coalesce(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     usable = finite & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
+    v = F.transform("embedding", lambda x: (x + F.lit(0).cast(kind)).cast(kind))  # no negative zeros; as wide as it came
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, F.col("label").cast("long")).alias("label"), F.when(usable, v).alias("v"))
     good = base.where("v is not null")
     reps = materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     # A vec_id repeated with other vectors or labels must not unite them: nodes are numbered apart from ids.
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    shape = "label long, pass int, sig long, rep long, v array<double>"
+    shape = f"label long, pass int, sig long, rep long, v array<{kind}>"
     signed = reps.select(F.col("node").alias("rep"), "label", "v").mapInArrow(_signatures(passes, seed), shape)
     dealt = signed.repartitionByRange("label", F.size("v"), "pass", "sig", "rep").sortWithinPartitions("label", F.size("v"), "pass", "sig", "rep")
     roots = connected_components(dealt.mapInArrow(_window_links(threshold, window), "a long, b long"))
