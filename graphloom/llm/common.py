@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session's executors, once, so that they need no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():  # else it already came as an archive
+        path = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(path))
+    context._graphloom_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and it survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cached, fold, load, materialize, token
+from graphloom.llm.common import cached, fold, load, materialize, ship, token
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -105,6 +105,7 @@ def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words:
     Bounds: of each language the rows of smallest id hash are read, `per_lang` of them but for the hash's spread, and the `max_words` words and
     `max_grams` n-grams of highest count are kept; so what reaches the driver and the executors has a fixed size.
     """
+    ship(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null")
     limits = rows.groupBy("lang").count().collect()
     if not limits:
@@ -129,6 +130,7 @@ def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words:
 def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """docs' `columns` and (lang_pred, score) for every row of docs; text is looked at and no other column."""
     spark = docs.sparkSession
+    ship(spark)
     units = [(k, u) for k, of in (("w", model.words), ("g", model.grams)) for u in of]
     logs = model.logs[[of[u] for of in (model.words, model.grams) for u in of]] if units else model.logs
     name, sent = token(), spark.sparkContext.broadcast((model.langs, model.longest, "\0".join(u for _, u in units), len(model.words), logs))

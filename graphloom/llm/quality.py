@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, load, materialize
+from graphloom.llm.common import fold, load, materialize, ship
 
 BEGIN, CHUNK, HELD = 2, 1 << 20, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,7 @@ def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5,
     the documents' n-gram counts by hash of language and n-gram. Both give the same sums but for rounding.
     """
     spark = docs.sparkSession
+    ship(spark)
     source = docs.select("lang", "text", *columns)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
     if logp.count() > most:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cached, load
+from graphloom.llm.common import cached, load, ship
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -191,6 +191,7 @@ def encode(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
                 crc = pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), ids, crc], names=[*columns, "ids", "ids_crc32"])
 
+    ship(docs.sparkSession)
     source = docs.select(F.col("text").alias("_text_"), *columns)
     return source.mapInArrow(run, _shape(source, "ids array<int>, ids_crc32 long"))
 
@@ -204,6 +205,7 @@ def decode(rows: DataFrame, path: str, columns: list[str]) -> DataFrame:
             texts = [codec.decode(-1 if i is None else i for i in (x.as_py() or ())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
+    ship(rows.sparkSession)
     source = rows.select(F.col("ids").alias("_ids_"), *columns)
     return source.mapInArrow(run, _shape(source, "decoded string"))
 

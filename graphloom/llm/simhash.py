@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import load, local_roots, materialize
+from graphloom.llm.common import load, local_roots, materialize, ship
 from graphloom.llm.components import connected_components
 
 BITS, SEED, CHUNK = 64, 42, 1 << 20
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, width) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

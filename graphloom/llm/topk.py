@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.common import load, ship
+
 
 def _valid(vector: str):
     return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -113,6 +115,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, parts: int = 2, query_
     cutoff. It travels with the query block to all cells. Phase 2 collects the entries of at least cutoff / parts in
     some list, which every result must have, and phase 3 adds their missing parts and keeps the exact best.
     """
+    ship(rows.sparkSession)
     tidy = lambda df: df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim")).distinct()
     c = _blocks(tidy(rows), block, "c")
     q = _blocks(tidy(queries).dropDuplicates(["id"]), query_block, "q")
@@ -136,8 +139,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, parts: int = 2, query_
 
 
 def op1_topk_search(spark, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import load
-
     rows = quantize(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 256.0)
     return top_k(rows, rows.where("vec_id % 50 = 0"), 5)
 

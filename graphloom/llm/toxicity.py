@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, load, materialize
+from graphloom.llm.common import fold, load, materialize, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 CHUNK, CACHE = 1 << 20, 200_000
@@ -182,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, max_word
     clearest are kept. One half of that sample gives the token counts; the other half, which the counts have not
     seen, gives the extreme-value law and the weights.
     """
+    ship(docs.sparkSession)
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = own.groupBy("toxic").count().collect()
@@ -249,6 +250,7 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     passages: array of (start, end, evidence), each a significant segment by its characters.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import load, materialize
+from graphloom.llm.common import load, materialize, ship
 
 #: Headers that a 304 must not change in the stored response (RFC 9111, section 3.2, and framing).
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
@@ -81,6 +81,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 names = [x.split()[0] for x in RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "http_headers" else r[n] for r in rows], types.get(n, pa.string())) for n in names], names=names)
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
