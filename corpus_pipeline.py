@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, packing, quality, simhash
+from graphloom.llm import langid, packing, quality, shingles
 from graphloom.llm.common import load, materialize
 
 #: SQL can express neither the language model, the perplexities nor the tokenizer.
@@ -42,9 +42,9 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id stays; of rows repeated under it, one. Rows without an id stay."""
+    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the document of smallest doc_id stays; of rows repeated under it, one. Rows without an id stay."""
     columns = _plain(docs)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = shingles.similar(docs.select("doc_id", "text"), width=5, least=0.8)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.select(*columns).join(gone.select(F.col("doc_id").alias("_id_")), F.col("doc_id").eqNullSafe(F.col("_id_")), "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
