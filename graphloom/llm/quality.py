@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -215,16 +217,18 @@ def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5,
     return source.mapInArrow(run, f"{kept + ', ' if kept else ''}lang string, n long, nll double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: int = 5, weight: int = 50, tail: float = 0.005, above: float = 0.2, below: float = 0.1, held: int = 5, most_ids: int = 8_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: int = 5, weight: int = 50, tail: float = 0.005, errors: float = 2.0, held: int = 5, most_ids: int = 8_000_000) -> DataFrame:
     """docs' `columns`, perplexity, low, high and kept for every row of docs (doc_id, lang, text).
 
     Trusted are the documents that labels (doc_id, quality) call 1 and never 0. One in `held` of them, by id hash, is
     kept out of the model, since its own text looks likelier to it than any other. A document's log perplexity is the
     mean over its characters, drawn to the mean of its language's kept-out ones as by `weight` characters of it, as
     few characters say little. It is kept if that lies between the quantile `tail` of all trusted documents of its
-    language less `below` and the quantile 1 - `tail` of the kept-out ones plus `above`: what is higher is unlike
-    trusted text, what is lower is repetitive. Null lang is a language of its own; null text counts as empty; a
-    language without trusted documents on either side rejects nothing there.
+    language and the quantile 1 - `tail` of the kept-out ones: what is higher is unlike trusted text, what is lower is
+    repetitive. The quantile of 1 / `tail` or more documents is widened by `errors` standard errors, from their number
+    and standard deviation; fewer have no such quantile, so there it is a normal law's tolerance limit, as many standard
+    errors out. Null lang is a language of its own; null text counts as empty; a language with fewer than four such
+    documents on a side rejects nothing there.
 
     Up to `most_ids` trusted ids (8 bytes each) go to the counting tasks as a sorted array, so that no text is
     shuffled; more of them are joined. Scoring needs no labels: only its few columns meet them.
@@ -245,9 +249,15 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: i
     # One row a language: safe to broadcast.
     with_mean = found.join(F.broadcast(means), "lang", "left")
     x = with_mean.withColumn("x", F.coalesce((F.col("nll") + weight * F.col("mean")) / (F.col("n") + weight), F.col("nll") / F.greatest("n", F.lit(1))))
-    q = lambda rows, p, to: rows.groupBy("lang").agg(F.percentile_approx("x", p, 10_000).alias(to))
-    done = x.join(F.broadcast(q(x.where("part is not null"), tail, "low")), "lang", "left").join(F.broadcast(q(x.where("part = 'out'"), 1 - tail, "high")), "lang", "left")
-    done = done.withColumn("perplexity", F.exp("x")).withColumn("low", F.exp(F.col("low") - below)).withColumn("high", F.exp(F.col("high") + above))
+    z = NormalDist().inv_cdf(1 - tail)
+    n, spread = F.count("x"), F.stddev_samp("x")
+    # Natrella's approximation of a tolerance factor; with too few documents there is none.
+    a, b = 1 - errors**2 / (2 * F.nullif(n - 1, F.lit(0))), z * z - errors**2 / n
+    factor = F.when(a > 0, (z + F.sqrt(z * z - a * b)) / a)
+    own = lambda p, sign: F.when(n * tail >= 1, F.percentile_approx("x", p, 10_000) + sign * errors * spread * F.sqrt((1 + z * z / 2) / n)).otherwise(F.avg("x") + sign * factor * spread)
+    q = lambda rows, p, sign, to: rows.groupBy("lang").agg(own(p, sign).alias(to))
+    done = x.join(F.broadcast(q(x.where("part is not null"), tail, -1, "low")), "lang", "left").join(F.broadcast(q(x.where("part = 'out'"), 1 - tail, 1, "high")), "lang", "left")
+    done = done.withColumn("perplexity", F.exp("x")).withColumn("low", F.exp("low")).withColumn("high", F.exp("high"))
     inside = F.coalesce(F.col("perplexity") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True))
     return done.select(*columns, "perplexity", "low", "high", inside.alias("kept"))
 

@@ -101,3 +101,16 @@ def test_long_texts_are_scored_in_parts(spark, monkeypatch):
     nll = -sum(table[x[j : j + 3]] for j in range(len(x) - 2))
     got = quality.score(df, logp, ["doc_id"], 3).first()
     assert got.n == len(docs[0][2]) and abs(got.nll - nll) < 1e-3 * nll
+
+
+def test_limits_follow_the_spread_of_the_language(spark):
+    rng = random.Random(12)
+    words = "the cat sat on that mat and then ran home".split()
+    good = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, good(150), "en") for i in range(200)] + [(300, " ".join(w if k % 30 else "zq" for k, w in enumerate(good(300).split())), "en"), (301, good(150), "fr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(300, 0), (301, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(df, labels, ["doc_id"], order=4).collect()}
+    assert got[300].perplexity < got[0].high * math.exp(0.2)  # near enough for a fixed margin to keep it
+    gone = {i for i, r in got.items() if not r.kept}
+    assert 300 in gone and 301 not in gone and len(gone) <= 4
