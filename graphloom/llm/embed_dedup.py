@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,10 +13,14 @@ from graphloom.llm.common import load, local_roots, materialize
 from graphloom.llm.components import connected_components
 
 HASH_BITS, LEAST_CHUNK = 63, 128
+#: The share of pairs at the threshold that the passes of a label are to meet, and the most passes of one.
+AIM, MOST_PASSES = 0.99, 256
 
 
-def _planes(dim: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * HASH_BITS))
+@lru_cache(maxsize=512)
+def _planes(dim: int, number: int, seed: int) -> np.ndarray:
+    """The planes of one pass."""
+    return np.random.default_rng([seed, dim, number]).standard_normal((dim, HASH_BITS))
 
 
 def _unit(values: pa.ListArray) -> np.ndarray:
@@ -24,21 +30,67 @@ def _unit(values: pa.ListArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _signatures(passes: int, seed: int):
-    """Rows (rep, label, v) to one row a pass with its concatenated hash bits; (label, pass, sig, rep, v)."""
+def _sums(batches):
+    """Rows (label, v) to the task's sums of unit vectors: (label, dim, n, total)."""
+    held: dict = {}
+    for batch in batches:
+        label, v = batch.column(0).to_numpy(), batch.column(1)
+        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            labels, own = np.unique(label[at], return_inverse=True)
+            x, total = _unit(v.take(pa.array(at))), np.zeros((len(labels), dim))
+            np.add.at(total, own, x)
+            for k, n, t in zip(labels.tolist(), np.bincount(own).tolist(), total, strict=True):
+                old = held.get((k, int(dim)), (0, 0.0))
+                held[k, int(dim)] = old[0] + n, old[1] + t
+        if len(held) > 4096:
+            yield _summed(held)
+            held = {}
+    yield _summed(held)
+
+
+def _summed(held: dict) -> pa.RecordBatch:
+    cols = [pa.array([k for k, _ in held], pa.int64()), pa.array([d for _, d in held], pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([t for _, t in held.values()], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["label", "dim", "n", "total"])
+
+
+def passes_for(n: int, centre: np.ndarray, threshold: float, window: int, least: int) -> int:
+    """How many passes meet AIM of the pairs at the threshold among n unit vectors of mean `centre`."""
+    rest = max(1 - float(centre @ centre), 1e-12)
+    near = 1 - np.arccos(max(-1.0, 1 - (1 - threshold) / rest)) / np.pi
+    one = near ** max(0.0, np.log2(max(n, 1) / window))
+    return least if one >= AIM else int(min(max(least, np.ceil(np.log(1 - AIM) / np.log1p(-one))), max(least, MOST_PASSES)))
+
+
+def _centres(threshold: float, window: int, least: int):
+    """The sums of one label and length to (label, dim, centre, passes)."""
+
+    def run(key, table):
+        n = table["n"].to_numpy().sum()
+        centre = np.sum(table["total"].to_pylist(), axis=0) / n
+        return pa.table({"label": [key[0].as_py()], "dim": pa.array([key[1].as_py()], pa.int32()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "passes": pa.array([passes_for(int(n), centre, threshold, window, least)], pa.int32())})
+
+    return run
+
+
+def _signatures(seed: int):
+    """Rows (rep, label, v, centre, passes) to one row a pass with its concatenated hash bits; (label, pass, sig, rep, v)."""
 
     def run(batches):
         for batch in batches:
-            rep, label, v = (batch.column(i) for i in range(3))
+            rep, label, v, centre, passes = (batch.column(i) for i in range(5))
             sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
+            numbers = passes.to_numpy()
+            for dim, count in np.unique(np.stack([sizes, numbers]), axis=1).T:
+                at = np.flatnonzero((sizes == dim) & (numbers == count))
                 for part in np.array_split(at, max(1, len(at) // 2048)):
                     own = v.take(pa.array(part))
-                    bits = (_unit(own) @ _planes(int(dim), passes, seed) >= 0).reshape(len(part), passes, HASH_BITS)
-                    sig = (bits.astype(np.int64) << np.arange(HASH_BITS - 1, -1, -1)).sum(axis=2)
-                    for p in range(passes):
-                        cols = [label.take(pa.array(part)), pa.array(np.full(len(part), p, np.int32)), pa.array(sig[:, p]), rep.take(pa.array(part)), own]
+                    x = _unit(own) - centre.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                    for p in range(count):
+                        bits = x @ _planes(int(dim), p, seed) >= 0
+                        sig = (bits.astype(np.int64) << np.arange(HASH_BITS - 1, -1, -1)).sum(axis=1)
+                        cols = [label.take(pa.array(part)), pa.array(np.full(len(part), p, np.int32)), pa.array(sig), rep.take(pa.array(part)), own]
                         yield pa.RecordBatch.from_arrays(cols, names=["label", "pass", "sig", "rep", "v"])
 
     return run
@@ -107,9 +159,11 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.98, passes: int = 1
     nothing. Each row counts as a vector of its own, repeats of a vec_id too; a null vec_id links with nothing.
 
     Equal vectors of a label are first taken together and stand as one. Each pass orders the rest by 63 concatenated
-    random-hyperplane bits and compares every vector with the next `window` ones; verified pairs of all passes are
-    united. A pair of cosine 0.98 keeps one bit with probability 0.936, so the recall of one pass falls with the
-    logarithm of the rows, and passes make up for it. Inside the components so found, all pairs are then compared in
+    random-hyperplane bits of the unit vectors less their label's mean, so that a direction they share hides nothing,
+    and compares every vector with the next `window` ones of its range; verified pairs of all passes are united. A pair
+    at the threshold keeps one bit with a probability that falls as the label gets denser (0.936 at cosine 0.98 around
+    the origin), and so does the recall of one pass with the logarithm of the rows. From both, each label has as many
+    passes as meet 0.99 of such pairs, `passes` at least and MOST_PASSES at most, beyond which recall falls. Inside the components so found, all pairs are then compared in
     chunks: link counts are exact there however large a group is, and no pair is written out.
     """
     finite = F.coalesce(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
@@ -122,7 +176,10 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.98, passes: int = 1
     # A vec_id repeated with other vectors or labels must not unite them: nodes are numbered apart from ids.
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")
     shape = f"label long, pass int, sig long, rep long, v array<{kind}>"
-    signed = reps.select(F.col("node").alias("rep"), "label", "v").mapInArrow(_signatures(passes, seed), shape)
+    sums = reps.select("label", "v").mapInArrow(_sums, "label long, dim int, n long, total array<double>")
+    centres = sums.groupBy("label", "dim").applyInArrow(_centres(threshold, window, passes), "label long, dim int, centre array<double>, passes int")
+    centred = reps.select(F.col("node").alias("rep"), "label", "v", F.size("v").alias("dim")).join(materialize(centres, "centres"), ["label", "dim"])
+    signed = centred.select("rep", "label", "v", "centre", "passes").mapInArrow(_signatures(seed), shape)
     dealt = signed.repartitionByRange("label", F.size("v"), "pass", "sig", "rep").sortWithinPartitions("label", F.size("v"), "pass", "sig", "rep")
     roots = connected_components(dealt.mapInArrow(_window_links(threshold, window), "a long, b long"))
     member = materialize(reps.join(roots.withColumnRenamed("root", "group"), "node"), "members")

@@ -50,3 +50,17 @@ def test_odd_rows(spark):
     rows = [(1, same, 0), (2, same, 0), (2, same, 0), (3, same, None), (4, None, 0), (5, [0.0, 0.0], 0), (6, [None, 1.0], 0), (7, [float("nan"), 1.0], 0), (8, [], 0), (9, [0.5, 0.25, 0.0], 0), (10, [1e-30, 0.0], 1), (11, [1e30, 0.0], 1), (None, same, 0)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
+
+
+def test_labels_of_one_direction_keep_their_links(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, dim, pairs = 6000, 64, 300
+    centre = unit(rng.standard_normal(dim))
+    x = unit(np.sqrt(0.9) * centre + np.sqrt(0.1) * unit(rng.standard_normal((n, dim))))
+    across = rng.standard_normal((pairs, dim))
+    across = unit(across - (across * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.981 * x[:pairs] + np.sqrt(1 - 0.981**2) * across]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    root = {r.vec_id: r.component_id for r in near_duplicates(df, window=8).collect()}
+    assert sum(root[i] == root[n + i] for i in range(pairs)) >= 0.95 * pairs
