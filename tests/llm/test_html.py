@@ -54,3 +54,67 @@ def test_smoothing_keeps_a_level():
     import numpy as np
 
     assert np.allclose(smoothed(np.full(7, 3.0), 2), 3.0)
+
+
+def test_names_that_only_hint_at_a_part():
+    inside = "<article><p>First words of it.</p>{}<p>Last words of it.</p></article>"
+    for name in ("social-history", "related-work", "notice-period", "banner-of-war"):
+        for tag in ("div", "section"):
+            assert "The history told." in extract(inside.format(f'<{tag} class="{name}"><p>The history told.</p></{tag}>'))
+    for name in ("related", "share-buttons", "cookie-notice", "ad slot", "newsletter-signup box"):
+        assert extract(inside.format(f'<div class="{name}"><p>Gone.</p></div>')) == "First words of it.\n\nLast words of it."
+    links = '<div class="related-work">' + '<div><a href="/">One link</a></div>' * 9 + "</div>"
+    assert "link" not in extract("<article>" + "<p>Many words of running text stand in this block.</p>" * 9 + links + "</article>")
+
+
+def test_an_element_closes_over_any_number_of_open_ones():
+    for n in (3, 70, 5000):
+        assert extract("<article><ul><li class='ad'>" + "<b>" * n + "gone<li>keep this</ul></article>") == "keep this"
+
+
+def test_malformed_markup_is_no_error():
+    got = {h: extract(h) for h in ("<p>a<![foo[ x ]]>b", "<p>a<![ x", "<p>a<!-- b > c", "<p>a<!-->b", "<p>a<![CDATA[ x ]]>b", "a&#" + "9" * 5000 + ";b", "<p>a</", "<p>a < b", '<p>a<i b="x>y')}
+    assert list(got.values()) == ["ab", "a<![ x", "a c", "ab", "ab", "a�b", "a</", "a < b", "ay"]
+
+
+def test_mutated_pages_raise_nothing():
+    rng = random.Random(1)
+    parts = ["<!", "<![", "<!--", "-->", "<?", "</", "<a ", '"', "'", "=", ">", "<", "&#", "&", "\0", "<script>", "</script>", "<p>", "<table><td>", "]]>", "&#x110000;", "&#xD800;", "<![CDATA[", "<li class=ad>", "<svg>", '<div id="promo-x">', "<article>"]
+    whole = page(["Title", "Some words.", "More words & signs."]) * 2
+    for _ in range(10_000):
+        h = whole[: rng.randint(0, len(whole))]
+        for _ in range(rng.randint(1, 10)):
+            i = rng.randint(0, len(h))
+            h = h[:i] + "".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) + h[i + rng.randint(0, 5) :]
+        extract(h).encode()
+
+
+def test_time_is_linear():
+    import time
+
+    for part in ("<!--", "<", "<a ", "<div>", "</x>", "<![", "<?", '<a x="', "<div class=ad><article>", "<!-- >", "&#", '<b><div class="ad"></b>', "<p>x", "</"):
+        began = time.perf_counter()
+        extract(part * 60_000)
+        assert time.perf_counter() - began < 15, part
+
+
+def test_clusters_equal_a_plain_reckoning():
+    import math
+
+    rng = random.Random(5)
+    for _ in range(200):
+        lines = [(rng.choice(["word", "a few words here", "x" * rng.randint(1, 300)]), rng.randint(0, 3), rng.choice(["", "linked text"])) for _ in range(rng.randint(1, 25))]
+        html = "<html><body><div>" + "".join(f"<p>{t}{'<i></i>' * k}" + (f"<a href='/'>{a}</a>" if a else "") + "</p>" for t, k, a in lines) + "</div></body></html>"
+        # Tags of a line: those within it and the one that closes it.
+        ratio = [len(t) / max(1, 2 * k + 2 * bool(a) + 1) for t, k, a in lines]
+        smooth = []
+        for i in range(len(ratio)):
+            near = [(math.exp(-(d * d) / 8), ratio[i + d]) for d in range(-2, 3) if 0 <= i + d < len(ratio)]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        mean = sum(ratio) / len(ratio)
+        spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
+        least = min(spread, sum(smooth) / len(smooth))
+        at = [i for i, s in enumerate(smooth) if s >= least - 1e-9]
+        if any(abs(s - least) < 1e-6 for s in smooth):
+            continue
+        assert extract(html) == "\n\n".join(t + a for t, _, a in lines[at[0] : at[-1] + 1])
