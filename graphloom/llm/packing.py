@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import cached, load, materialize, ship
 
@@ -46,21 +48,27 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first)] * (first > 0) + [(at, most) for at in range(first, n, most)]
 
 
-class OpenBins:
-    """Bins by remaining capacity under a segment tree: the tightest bin that takes a length, in logarithmic time."""
+class Capacities:
+    """Which remaining capacities some open bin has, as a segment tree: the tightest that takes a length, in logarithmic time."""
 
     def __init__(self, most: int):
-        self.most, self.size = most, 1 << most.bit_length()
+        self.size = 1 << most.bit_length()
         self.any = bytearray(2 * self.size)
-        self.of: list[list[int]] = [[] for _ in range(most + 1)]
 
-    def put(self, left: int, bin_: int) -> None:
-        self.of[left].append(bin_)
+    def put(self, left: int) -> None:
         at = left + self.size
         while at and not self.any[at]:
             self.any[at] = 1
             at >>= 1
 
+    def drop(self, left: int) -> None:
+        at = left + self.size
+        self.any[at] = 0
+        at >>= 1
+        while at and not (self.any[2 * at] or self.any[2 * at + 1]):
+            self.any[at] = 0
+            at >>= 1
+
     def tightest(self, length: int) -> int | None:
         """The smallest remaining capacity of at least `length` that some bin has."""
         at = length + self.size
@@ -74,74 +82,111 @@ class OpenBins:
                 at = 2 * at + (not self.any[2 * at])
         return at - self.size
 
-    def take(self, left: int) -> int:
-        bin_, at = self.of[left].pop(), left + self.size
-        if not self.of[left]:
-            self.any[at] = 0
-            at >>= 1
-            while at and not (self.any[2 * at] or self.any[2 * at + 1]):
-                self.any[at] = 0
-                at >>= 1
-        return bin_
-
-
-def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length by best-fit decreasing; lengths are 1 to `most`."""
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    tree, n = OpenBins(most), 0
-    for i in np.argsort(-lengths, kind="stable"):
-        length = int(lengths[i])
-        left = tree.tightest(length)
-        if left is None:
-            b, left, n = n, most, n + 1
-        else:
-            b = tree.take(left)
-        bins[i], offsets[i] = b, most - left
-        if left > length:
-            tree.put(left - length, b)
-    return bins, offsets
+
+def best_fit(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing of counts[length] items of each length, 1 to `most`, into bins of `most`.
+
+    The places of a length's items, by their rank from 0, as runs (length, first rank, first bin, items a bin, offset in
+    it): the item of rank r lies in bin first bin + (r - first rank) // items a bin. Items of one length and bins of one
+    remaining capacity are alike, so they are placed together: an item put into the tightest bin leaves one tighter
+    still, which takes the next of its length until none fits. The work depends on the lengths, not on the counts.
+    """
+    tree, open_, bins, runs = Capacities(most), {}, 0, []  # open_: remaining capacity to runs [first bin, bins]
+
+    def put(left: int, first: int, n: int) -> None:
+        if left and n:
+            open_.setdefault(left, []).append([first, n])
+            tree.put(left)
+
+    for length in sorted(counts, reverse=True):
+        rank, items = 0, counts[length]
+        while items:
+            left = tree.tightest(length)
+            if left is None:
+                left, each = most, most // length
+                first, n = bins, -(-items // each)
+                bins += n
+            else:
+                each = left // length
+                first, n = open_[left].pop()
+                if not open_[left]:
+                    del open_[left]
+                    tree.drop(left)
+            full = min(n, items // each)
+            if full:
+                runs.append((length, rank, first, each, most - left))
+                rank, items = rank + full * each, items - full * each
+                put(left - each * length, first, full)
+            if full < n:
+                if items:  # fewer than fill one more bin
+                    runs.append((length, rank, first + full, each, most - left))
+                    put(left - items * length, first + full, 1)
+                    full, items = full + 1, 0
+                put(left, first + full, n - full)
+    return runs
+
+
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+PLACED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pieces(docs: DataFrame, most: int, end: int, path: str, ranks: str | None) -> DataFrame:
+    """Every piece of docs, with the task it was cut in (part) and its rank among the pieces of its length there (nth)."""
+
     def run(batches):
         encoder = cached(f"ids of {path} {ranks}", lambda: Encoder(path, ranks))
+        part, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encoder.ids(text.as_py() or ""), np.array([end], "<u4"))
-                out += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), most))]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                for k, (s, n) in enumerate(cut(len(ids), most)):
+                    out.append((doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes()), part, int(seen[n])))
+                    seen[n] += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+
+
+def _placed(sent):
+    """Rows of pieces and `base`, the pieces of their length in earlier parts, to their places."""
+
+    def run(batches):
+        length, rank, first, each, offset = sent.value
+        for batch in batches:
+            own, r = batch.column(3).to_numpy(), batch.column(6).to_numpy() + batch.column(7).to_numpy()
+            # Runs are in order of length and rank.
+            at = np.zeros(len(own), np.int64)
+            for n in np.unique(own):
+                i, lo, hi = np.flatnonzero(own == n), *np.searchsorted(length, [n, n + 1])
+                at[i] = lo + np.searchsorted(rank[lo:hi], r[i], "right") - 1
+            bin_, nth = np.divmod(r - rank[at], each[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first[at] + bin_), pa.array(offset[at] + nth * own)], names=list(PLACED))
+
+    return run
 
 
-def pack(docs: DataFrame, path: str, *, ranks: str | None = None, most: int = 1024, end: int = 2, share: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, ranks: str | None = None, most: int = 1024, end: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of docs (doc_id, text).
 
     A document is its text's ids and then `end`; null texts are empty, so every row, repeats too, gives one piece at
-    least. Whole pieces of `most` tokens fill a sequence each. The others are dealt by row number, never by a key, to
-    parts of about `share` pieces, and each part is packed best-fit decreasing: against packing all at once that costs
-    less than one sequence a part. Extra columns are ignored; an empty table gives no rows.
+    least. All pieces are packed at once, best-fit decreasing: what decides is how many have each length, and these
+    counts, `most` rows at most, are all that reaches the driver. It answers with runs of places, whose number depends on
+    the lengths alone, and each piece finds its own by its rank in its length: that in its task and the count of the tasks
+    before. Extra columns are ignored; an empty table gives no rows.
     """
-    found = materialize(pieces(docs, most, end, path, ranks), "pieces").withColumn("at", F.monotonically_increasing_id())
-    whole = found.where(F.col("length") == most).select("*", (-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = found.where(F.col("length") < most)
-    parts = max(1, -(-rest.count() // share))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "at", "part"]
-
-    def run(t):
-        t = t.sort_by([("length", "descending"), ("at", "ascending")])
-        bins, offsets = best_fit(t["length"].to_numpy(), most)
-        return t.append_column("sequence_id", pa.array((t["part"].to_numpy() << 32) + bins)).append_column("offset", pa.array(offsets))
-
-    part = F.pmod(F.xxhash64("at"), F.lit(parts)).cast("long")
-    dealt = rest.withColumn("part", part).select(*names)
-    shape = "doc_id long, piece int, start long, length long, ids_crc32 long, at long, part long, sequence_id long, offset long"
-    packed = dealt.groupBy("part").applyInArrow(run, shape)
-    keep = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return whole.select(*keep).union(packed.select(*keep))
+    found = materialize(pieces(docs, most, end, path, ranks), "pieces")
+    tasks = found.groupBy("part", "length").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = materialize(tasks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "tasks")
+    counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    runs = np.array(sorted(best_fit(counts, most)), np.int64).reshape(-1, 5)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(runs.T.copy()))
+    ranked = found.join(tasks.select("part", "length", "base"), ["part", "length"])
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+    return ranked.select(*columns, "base").mapInArrow(_placed(sent), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def files() -> dict:
