@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +16,10 @@ from graphloom.llm.common import load, materialize, ship
 #: Headers that a 304 must not change in the stored response (RFC 9111, section 3.2, and framing).
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 RECORD = "warc_type string, target_uri string, warc_date string, record_id string, profile string, refers_to string, http_status int, http_headers map<string,string>, payload binary"
+#: Fixed value: how a gzip member begins.
+GZIP = b"\x1f\x8b\x08"
+#: A batch of records ends when their payloads reach this many bytes.
+BATCH = 1 << 25
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 
@@ -46,9 +50,40 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return found
 
 
+class _Members(io.RawIOBase):
+    """The bytes of gzip members one after the other; a damaged member gives what it can, and reading goes on at the next."""
+
+    def __init__(self, data):
+        self.data, self.at, self.left, self.member = data, 0, b"", None
+
+    def readable(self):
+        return True
+
+    def readinto(self, out):
+        while not self.left:
+            if self.member is None or self.member.eof:
+                self.at = self.data.find(GZIP, self.at) if self.member is None else self.data.find(GZIP, self.at - len(self.member.unused_data))
+                if self.at < 0:
+                    self.at, self.member = len(self.data), None
+                    return 0
+                self.member = zlib.decompressobj(31)
+            piece = bytes(self.data[self.at : self.at + (1 << 16)])
+            if not piece:
+                return 0
+            try:
+                self.left = self.member.decompress(piece)
+                self.at += len(piece)
+            except zlib.error:
+                self.at, self.member = self.at + 1, None
+        n = min(len(out), len(self.left))
+        out[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
 def read_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzipped by file or by record; what is no record is skipped to the next one."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    """The records of a WARC file, plain or gzipped by file or by record; what is no record, damaged members of a gzipped
+    file included, is skipped to the next one."""
+    stream = io.BufferedReader(_Members(data)) if data[:3] == GZIP else io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -71,15 +106,28 @@ def read_records(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under path; files are the unit of work, as the format has no index."""
+    """The records of the WARC files under path; files are the unit of work, as the format has no index.
+
+    A file's records leave its task in batches of bounded payload. The file itself is held in memory once, as Spark's
+    reader of binary files gives it, which also sets the limit of a file's size: 2 GB as stored.
+    """
     types = {"http_status": pa.int32(), "http_headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
+    names = [x.split()[0] for x in RECORD.split(", ")]
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "http_headers" else r[n] for r in rows], types.get(n, pa.string())) for n in names], names=names)
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = list(read_records(data.as_py()))
-                names = [x.split()[0] for x in RECORD.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "http_headers" else r[n] for r in rows], types.get(n, pa.string())) for n in names], names=names)
+                rows, size = [], 0
+                for r in read_records(data.as_py()):
+                    rows.append(r)
+                    size += len(r["payload"])
+                    if size >= BATCH:
+                        yield packed(rows)
+                        rows, size = [], 0
+                yield packed(rows)
 
     ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
@@ -96,6 +144,11 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(F.lower(host), r"^www[0-9]*\.", ""), ":(80|443)$", ""), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def _entries(headers: str) -> Column:
+    """A map's entries in order, which unlike the map can be compared."""
+    return F.array_sort(F.map_entries(headers))
+
+
 def resolve_revisits(records: DataFrame, *, buckets: int = 64) -> DataFrame:
     """(id, source_id, outcome, headers) for every not-modified revisit of records.
 
@@ -104,15 +157,18 @@ def resolve_revisits(records: DataFrame, *, buckets: int = 64) -> DataFrame:
     outcome: resolved; mismatch, if both have an etag (weakly compared) and these differ, or lacking one of them both
     have last-modified and these differ; unproven, if no validator is on both sides; orphan, without an earlier
     response, url or time. headers: of a resolved one, the source's as the 304 updates them, those of KEPT apart.
-    Rows without an id are no revisits; rows repeated under one id count as one response each but give one result.
-    Other columns are ignored.
+    Rows without an id are no revisits. Of several revisits under one id, and of several responses of status 200 that
+    have a url and a time, one counts throughout: that of highest (at, url, headers by name), nulls lowest. Other
+    responses and other columns are ignored.
 
     Time is cut into `buckets` ranges of about equal rows, and the search runs by (URL, bucket) with the last response
     of earlier buckets carried in, so a URL with a large share of all records is split; payloads are never moved.
     """
-    light = records.where("id is not null and url is not null and at is not null").select("id", "kind", "at", "status", canonical_url(F.col("url")).alias("canon"))
-    light = light.where("kind = 'revisit' or kind = 'response' and status = 200").dropDuplicates(["id", "kind"])
-    light = materialize(light, "captures")
+    usable = F.expr("kind = 'revisit' or kind = 'response' and status = 200 and url is not null and at is not null")
+    row = F.struct("at", "url", _entries("headers").alias("entries"))
+    once = records.where(F.col("id").isNotNull() & usable).groupBy("id", "kind").agg(F.max(row).alias("row"))
+    once = materialize(once.select("id", "kind", "row.at", canonical_url(F.col("row.url")).alias("canon"), F.map_from_entries("row.entries").alias("headers")), "captures")
+    light = once.where("canon is not null and at is not null").select("id", "kind", "at", "canon")
     found = light.agg(F.percentile_approx(F.col("at").cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0]
     cuts = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<double>")
     dealt = light.withColumn("bucket", F.size(F.filter(cuts, lambda x: x < F.col("at").cast("double")))).withColumn("full", F.when(F.col("kind") == "response", F.struct("at", "id")))
@@ -122,9 +178,8 @@ def resolve_revisits(records: DataFrame, *, buckets: int = 64) -> DataFrame:
     marks = last.unionByName(near.where("near is null").select("canon", "bucket").distinct(), allowMissingColumns=True).groupBy("canon", "bucket").agg(F.max("full").alias("full"))
     carried = marks.withColumn("far", F.last("full", ignorenulls=True).over(Window.partitionBy("canon").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("canon", "bucket", "far")
     source = materialize(near.join(carried, ["canon", "bucket"], "left").select("id", F.coalesce("near", "far")["id"].alias("source_id")), "sources")
-    heads = lambda kind, *names: records.where(f"kind = '{kind}'").dropDuplicates(["id"]).select(F.col("id").alias(names[0]), F.col("headers").alias(names[1]))
-    both = records.where("kind = 'revisit' and id is not null").dropDuplicates(["id"]).select("id", F.col("headers").alias("new")).join(source, "id", "left")
-    both = both.join(heads("response", "source_id", "old"), "source_id", "left")
+    both = once.where("kind = 'revisit'").select("id", F.col("headers").alias("new")).join(source, "id", "left")
+    both = both.join(once.where("kind = 'response'").select(F.col("id").alias("source_id"), F.col("headers").alias("old")), "source_id", "left")
     tag = lambda side: F.regexp_replace(F.col(side)["etag"], "^W/", "")
     same = F.coalesce(tag("new") == tag("old"), F.col("new")["last-modified"] == F.col("old")["last-modified"])
     outcome = F.when(F.col("source_id").isNull(), "orphan").when(same, "resolved").when(~same, "mismatch").otherwise("unproven")
@@ -141,7 +196,9 @@ def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:
     first = pages.select((F.col("page_id") * 2).alias("id"), F.lit("response").alias("kind"), "url", at.alias("at"), F.lit(200).alias("status"), F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("age"), F.lit("0")).alias("headers"))
     again = pages.select((F.col("page_id") * 2 + 1).alias("id"), F.lit("revisit").alias("kind"), "url", (at + F.expr("interval 1 day")).alias("at"), F.lit(304).alias("status"), F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("none"), F.lit("age"), F.lit("9")).alias("headers"))
     found = materialize(resolve_revisits(first.union(again)), "resolved")
-    payload = pages.select((F.col("page_id") * 2).alias("source_id"), F.md5("html").alias("md5"), F.length("html").cast("long").alias("n")).dropDuplicates(["source_id"])
+    # Of a repeated page_id the row that stands for it there: of highest (url, etag).
+    page = F.struct("url", F.md5("html").alias("md5"), F.length("html").cast("long").alias("n"))
+    payload = pages.where("page_id is not null and url is not null").groupBy((F.col("page_id") * 2).alias("source_id")).agg(F.max(page).alias("p")).select("source_id", "p.md5", "p.n")
     done = F.col("outcome") == "resolved"
     return found.join(payload, "source_id", "left").select(
         F.expr("(id - 1) div 2").alias("page_id"), F.when(F.col("source_id").isNotNull(), F.expr("source_id div 2")).alias("source_page_id"), "outcome",
@@ -151,8 +208,9 @@ def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-with p as (select distinct page_id, url, coalesce(html, '') as html,
-    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages where page_id is not null and url is not null),
+with p as (select page_id, url, coalesce(html, '') as html,
+    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages where page_id is not null and url is not null
+    qualify row_number() over (partition by page_id order by url desc, md5(coalesce(html, '')) desc) = 1),
 q as (select *, regexp_extract(bare, '^[^/?]*', 0) as host, regexp_replace(bare, '^[^/?]*', '') as rest from p),
 r as (select *, array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_extract(rest, '\?.*$', 0), '^\?', ''), '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))), '&') as kept from q),
 c as (select page_id, html, md5(html) as tag, concat(regexp_replace(regexp_replace(lower(host), '^www[0-9]*\.', ''), ':(80|443)$', ''),

@@ -65,6 +65,28 @@ def test_repeated_records_give_one_result(spark):
     assert [(r.id, r.source_id, r.outcome) for r in got] == [(2, 1, "resolved")]
 
 
+def test_one_row_of_a_repeated_id_counts(spark):
+    later = T0 + timedelta(1)
+    a, b = (1, "response", "http://a/", T0, 404, {"etag": "x", "age": "1"}, "x"), (1, "response", "http://a/", T0, 200, {"etag": "e", "age": "2"}, "x")
+    c, d = (1, "response", "http://a/", T0 - timedelta(1), 200, {"etag": "old"}, "x"), (1, "response", None, later, 200, {"etag": "no"}, "x")
+    r, s = (2, "revisit", "http://a/", later, 304, {"etag": "e"}, "x"), (2, "revisit", "http://b/", T0, 304, {"etag": "z"}, "x")
+    for rows in ([a, b, c, d, r, s], [s, r, d, c, b, a], [b, r, a, s, d, c]):
+        got = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+        assert [(x.id, x.source_id, x.outcome, x.headers) for x in got] == [(2, 1, "resolved", {"etag": "e", "age": "2"})]
+
+
+def test_damaged_files_give_what_is_whole(spark, tmp_path, monkeypatch):
+    records = [warc.write_record("response", f"http://{i}/", "2024-01-01T00:00:00Z", f"<urn:{i}>", status=200, payload=random.Random(i).randbytes(3000)) for i in range(5)]
+    members = [gzip.compress(r) for r in records]
+    bad = bytearray(members[2])
+    bad[200:260] = bytes(60)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([*members[:2], bytes(bad), *members[3:4], members[4][:900]]))
+    (tmp_path / "b.warc").write_bytes(b"WARC/1.1\r\nContent-Length: x\r\n\r\n" + b"WARC/")
+    monkeypatch.setattr(warc, "BATCH", 4000)
+    got = {r.record_id: len(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect() if r.record_id}
+    assert {k: n for k, n in got.items() if n == 3000}.keys() >= {"<urn:0>", "<urn:1>", "<urn:3>"}
+
+
 def test_files_round_trip(spark, tmp_path):
     a = warc.write_record("response", "http://a/", "2024-01-01T00:00:00Z", "<urn:1>", status=200, headers={"ETag": '"1"', "X": "y"}, payload=b"<p>\r\n\r\nWARC/1.1 \xff</p>")
     b = warc.write_record("revisit", "http://a/", "2024-01-02T00:00:00Z", "<urn:2>", status=304, headers={"ETag": '"1"'}, profile=warc.PROFILE, refers_to="<urn:1>")
