@@ -8,9 +8,13 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A word: a letter and the letters and combining marks after it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session's executors, once, so that they need no copy of it."""

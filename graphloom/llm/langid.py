@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -10,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cached, fold, load, materialize, ship, token
+from graphloom.llm.common import WORD, cached, fold, load, ship, token
 
-WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 CACHE, FLUSH = 100_000, 50_000
 
@@ -99,11 +97,11 @@ class Model:
         return self.langs[best], float(e[best] / e.sum())
 
 
-def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
+def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4) -> Model:
     """A model of docs (doc_id, text, lang), from the rows whose text and lang are not null.
 
-    Bounds: of each language the rows of smallest id hash are read, `per_lang` of them but for the hash's spread, and the `max_words` words and
-    `max_grams` n-grams of highest count are kept; so what reaches the driver and the executors has a fixed size.
+    Bound: of each language the rows of smallest id hash are read, `per_lang` of them but for the hash's spread. Every word
+    and n-gram of these rows is in the model, so its size follows from this sample and not from the table.
     """
     ship(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null")
@@ -115,20 +113,22 @@ def train(docs: DataFrame, *, per_lang: int = 4000, longest: int = 4, max_words:
     counts = sample.mapInArrow(_units(longest), "lang string, kind string, unit string, n long")
     langs = sorted(r["lang"] for r in limits)
     of = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    each = materialize(counts.groupBy("kind", "unit").agg(F.sum("n").alias("n"), *of).where("n > 1"), "units")
-    top = [each.where(k).orderBy(F.desc("n"), "unit", "kind").limit(n).toArrow() for k, n in (("kind = 'w'", max_words), ("kind <> 'w'", max_grams))]
-    t = pa.concat_tables(top)
+    t = counts.groupBy("kind", "unit").agg(*of).orderBy(F.col("kind") != "w", "kind", "unit").toArrow()
     kinds, units = t["kind"].to_pylist(), t["unit"].to_pylist()
     n = np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(float) if langs else np.zeros((len(t), 0))
     logs = np.zeros_like(n)
     for k in set(kinds):
-        at = np.array([x == k for x in kinds])
+        at = np.array([x == k for x in kinds], bool)
         logs[at] = np.log((n[at] + 0.1) / (n[at].sum(axis=0) + 0.1 * at.sum()))
     return Model(langs, longest, list(zip(kinds, units, strict=True)), logs.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """docs' `columns` and (lang_pred, score) for every row of docs; text is looked at and no other column."""
+    """docs' `columns` and (lang_pred, score) for every row of docs; text is looked at and no other column.
+
+    A word is a letter with the letters and combining marks that follow it; numerals are none. Null texts and those
+    without a letter are UNKNOWN with score 0, as is every text if the model has learned no language.
+    """
     spark = docs.sparkSession
     ship(spark)
     units = [(k, u) for k, of in (("w", model.words), ("g", model.grams)) for u in of]

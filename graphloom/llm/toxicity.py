@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, load, materialize, ship
+from graphloom.llm.common import WORD, fold, load, materialize, ship
 
-WORD = re.compile(r"[^\W\d_]+")
 CHUNK, CACHE = 1 << 20, 200_000
 PREFIXES = (8, 7, 6, 5, 4)
-BREAK = re.compile(r"[\W\d_]")
+BREAK = regex.compile(r"[^\p{L}\p{M}]")
 
 
 def pieces(text: str):
@@ -31,31 +31,42 @@ def pieces(text: str):
 
 
 class Segments:
-    """All maximal scoring segments of a stream of scores, in linear time; each is (first, last, score)."""
+    """All maximal scoring segments of a stream of scores, in linear time; each is (first, last, score).
+
+    `open` holds segments that a later one may still take in: (first, last, sum before, sum at the end, place of the
+    nearest earlier one with a smaller sum before). The search for such a one follows these places, so it passes by each
+    segment once; where it finds none, all that stand are final and leave the list.
+    """
 
     def __init__(self):
-        self.total, self.n, self.found = 0.0, 0, []  # found: first, last, sum before, sum at the end
+        self.total, self.n, self.open, self.done = 0.0, 0, [], []
 
     def add(self, scores: np.ndarray) -> None:
         sums = np.cumsum(scores) + self.total
-        for i in np.flatnonzero(scores > 0):
-            left = float(sums[i - 1]) if i else self.total
-            new = [self.n + int(i), self.n + int(i), left, float(sums[i])]
+        open_ = self.open
+        at = np.flatnonzero(scores > 0)
+        lefts = np.where(at > 0, sums[at - 1], self.total).tolist() if len(at) else []
+        for i, left, right in zip((self.n + at).tolist(), lefts, sums[at].tolist(), strict=True):
+            first, j = i, len(open_) - 1
             while True:
-                j = len(self.found) - 1
-                while j >= 0 and self.found[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or self.found[j][3] >= new[3]:
+                while j >= 0 and open_[j][2] >= left:
+                    j = open_[j][4]
+                if j < 0:
+                    self.done += open_
+                    open_.clear()
                     break
-                new[0], new[2] = self.found[j][0], self.found[j][2]
-                del self.found[j:]
-            self.found.append(new)
+                if open_[j][3] >= right:
+                    break
+                first, _, left, _, before = open_[j]
+                del open_[j:]
+                j = before
+            open_.append((first, i, left, right, j))
         if len(scores):
             self.total = float(sums[-1])
         self.n += len(scores)
 
     def all(self) -> list[tuple[int, int, float]]:
-        return [(a, b, high - low) for a, b, low, high in self.found]
+        return [(a, b, high - low) for a, b, low, high, _ in (*self.done, *self.open)]
 
 
 def units(word: str) -> list[str]:
@@ -73,27 +84,31 @@ class Model:
         self.seen: dict[str, float] = {}
 
     def word(self, w: str) -> float:
-        """The strongest score of a word's units, less the drift."""
+        """The score farthest from none of a word's units, less the drift."""
         if len(self.seen) > CACHE:
             self.seen = {}
         found = [self.of[u] for u in units(w) if u in self.of]
         self.seen[w] = out = max(found, key=abs, default=0.0) - self.drift
         return out
 
+    def tokens(self, text: str | None):
+        """The scores of a text's words, in arrays of bounded length."""
+        for _, piece in pieces(text or ""):
+            yield np.array([self.seen.get(w) or self.word(w) for w in WORD.findall(piece.lower())], float)
+
     def segments(self, text: str | None) -> Segments:
         out = Segments()
-        for _, piece in pieces(text or ""):
-            scores = [self.seen.get(w) or self.word(w) for w in WORD.findall(piece.lower())]
-            out.add(np.array(scores, float))
+        for scores in self.tokens(text):
+            out.add(scores)
         return out
 
     def features(self, found: Segments) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """(evidence of the best segment, evidence of all significant ones, these): nats beyond what chance gives a text of this length."""
+        """(evidence of the best segment, evidence of all significant ones, these): nats beyond what chance gives a text
+        of this length, the first two on a scale that grows with their logarithm."""
         base = self.log_k + np.log(max(found.n, 1))
         seen = [(a, b, self.rate * s - base) for a, b, s in found.all()]
-        best = min(max((e for *_, e in seen), default=-10.0), 30.0)
         strong = [x for x in seen if x[2] > SIGNIFICANT]
-        return max(best, -10.0), float(np.log1p(sum(e for *_, e in strong))), strong
+        return float(np.arcsinh(max((e for *_, e in seen), default=-base))), float(np.log1p(sum(e for *_, e in strong))), strong
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         """(probability, significant passages with their places in the text)."""
@@ -107,7 +122,7 @@ class Model:
             return []
         need, at, n = {i for a, b, _ in strong for i in (a, b)}, {}, 0
         for offset, piece in pieces(text):
-            for m in WORD.finditer(piece.lower()):
+            for m in WORD.finditer(piece):
                 if n in need:
                     at[n] = offset + m.start(), offset + m.end()
                 n += 1
@@ -174,15 +189,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, max_words: int = 100_000, prior: float = 1000.0, clear: float = 3.0, drift: float = 0.05) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, prior: float = 1000.0, doubt: float = 3.5, drift: float = 0.05) -> Model:
     """A model from docs (doc_id, text) with labels (doc_id, toxic); several labels of a document count as toxic if one is.
 
-    Bounds: of each class the labelled documents of smallest id hash are read, `per_class` of them but for the hash's
-    spread, and of the words and prefixes whose log-odds lie `clear` standard errors above none the `max_words`
-    clearest are kept. One half of that sample gives the token counts; the other half, which the counts have not
-    seen, gives the extreme-value law and the weights.
+    Bound: of each class the labelled documents of smallest id hash are read, `per_class` of them but for the hash's
+    spread. One half of that sample gives the token counts; the other half, which the counts have not seen, gives the
+    extreme-value law and the weights. Every word and prefix of the first half has a score, its log-odds under the
+    Dirichlet prior, above or below none; those that lie fewer than `doubt` standard errors from none
+    shrink towards it, the more so the nearer.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = own.groupBy("toxic").count().collect()
@@ -191,47 +208,63 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 8000, max_word
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["toxic"], min(1.0, per_class / r["count"]))])
     sample = own.where(F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1)) <= share[F.col("toxic")] * F.lit(float(2**63)))
     # About 2 * per_class ids at most, each once, so they are safe to broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled")
     # A passage that stands in many copies of a document is no evidence of many: copies count once.
     sketches = texts.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, sketch long")
-    apart = sample.join(sketches, "doc_id").groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", (F.xxhash64("doc_id") % 2).alias("half"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(materialize(apart, "sample")), "doc_id")
-    counts = materialize(texts.where("half = 0").select("toxic", "text").mapInArrow(_counted, "word string, toxic int, n long"), "units")
-    by_word = counts.groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in (0, 1)])
-    sums = by_word.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
-    n0, n1 = sums["n0"], sums["n1"]
-    a = F.lit(0.5) + F.lit(prior) * (F.col("n0") + F.col("n1")) / F.lit(max(n0 + n1, 1))
-    odds = lambda n, total: F.log((F.col(n) + a) / (F.lit(total + prior) - F.col(n) - a))
-    delta, spread = odds("n1", n1) - odds("n0", n0), F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    z = by_word.select("word", "n0", "n1", delta.alias("delta"), (delta / spread).alias("z"))
-    t = z.where(f"z >= {clear}").orderBy(F.desc("z"), "word").limit(max_words).toArrow()
-    z2 = t["z"].to_numpy().astype(float) ** 2
-    scores = t["delta"].to_numpy().astype(float) * z2 / (z2 + clear**2)  # doubtful log-odds shrink towards none
-    clean, total = t["n0"].to_numpy().astype(float) + 0.5, max(n0, 1) + 0.5 * len(t)
-    tokens, shares = np.append(scores - drift, -drift), np.append(clean, max(total - clean.sum(), 0)) / total
-    model = Model(t["word"].to_pylist(), scores, drift, _rate(tokens, shares))
-    sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
+    apart = sample.join(sketches, "doc_id").groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
+    texts = texts.join(F.broadcast(materialize(apart, "sample")), "doc_id")
+    counts = texts.where("half = 0").select("toxic", "text").mapInArrow(_counted, "word string, toxic int, n long")
+    t = counts.groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in (0, 1)]).orderBy("word").toArrow()
+    n0, n1 = (t[c].to_numpy().astype(float) for c in ("n0", "n1"))
+    total0, total1 = n0.sum(), n1.sum()
+    a = 0.5 + prior * (n0 + n1) / max(total0 + total1, 1)
+    odds = lambda n, total: np.log((n + a) / (total + prior - n - a))
+    delta = odds(n1, total1) - odds(n0, total0)
+    z2 = delta**2 / (1 / (n1 + a) + 1 / (n0 + a))
+    model = Model(t["word"].to_pylist(), delta * z2**4 / (z2**4 + doubt**8), drift)
+    other = texts.where("half = 1").select("toxic", "text")
+
+    # The law of clean text, first its rate by how often each score, in hundredths, comes.
+    sent = spark.sparkContext.broadcast(_packed(model))
+
+    def scored(batches):
+        m, seen = _unpacked(sent.value), Counter()
+        for batch in batches:
+            for x in batch.column(1):
+                for scores in m.tokens(x.as_py()):
+                    at, n = np.unique(np.rint(100 * scores).astype(np.int64), return_counts=True)
+                    seen.update(dict(zip(at.tolist(), n.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
+
+    # Log-odds have no more than a few thousand hundredths.
+    hist = other.where("toxic = 0").mapInArrow(scored, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    s, n = np.array([r["s"] for r in hist], float) / 100, np.array([r["n"] for r in hist], float)
+    model.rate = _rate(s, n / max(n.sum(), 1))
 
     def best(batches):
         m = _unpacked(sent.value)
         for batch in batches:
             found = [m.segments(x.as_py()) for x in batch.column(1)]
-            segments = [[s for *_, s in f.all()] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.n for f in found], pa.int64()), pa.array(segments, pa.list_(pa.float64()))], names=["toxic", "n", "s"])
-
-    rows = texts.where("half = 1").select("toxic", "text").mapInArrow(best, "toxic int, n long, s array<double>").collect()
-    y, n = np.array([r["toxic"] for r in rows], float), np.array([max(r["n"], 1) for r in rows], float)
-    top = np.array([max(r["s"], default=0.0) for r in rows])
-    if (y == 0).any():
-        own_n, own_top = n[y == 0], top[y == 0]
-        model.log_k = float(np.log(len(own_n)) - np.log((own_n * np.exp(-model.rate * own_top)).sum()))
-    x = []
-    for r in rows:
-        f = Segments()
-        f.n, f.found = r["n"], [[0, 0, 0.0, s] for s in r["s"]]
-        x.append(model.features(f)[:2])
+            yield pa.RecordBatch.from_arrays([pa.array([max(f.n, 1) for f in found], pa.int64()), pa.array([max((s for *_, s in f.all()), default=0.0) for f in found], pa.float64())], names=["n", "top"])
+
+    # Here and below one row of numbers a document of the sample.
+    rows = other.where("toxic = 0").mapInArrow(best, "n long, top double").collect()
+    if rows:
+        own_n, own_top = np.array([r["n"] for r in rows], float), np.array([r["top"] for r in rows])
+        model.log_k = float(np.log(len(rows)) - np.log((own_n * np.exp(-model.rate * own_top)).sum()))
+    law = spark.sparkContext.broadcast((model.rate, model.log_k))
+
+    def evidence(batches):
+        m = _unpacked(sent.value)
+        m.rate, m.log_k = law.value
+        for batch in batches:
+            found = [m.features(m.segments(x.as_py()))[:2] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], names=["toxic", "best", "every"])
+
+    rows = other.mapInArrow(evidence, "toxic int, best double, every double").collect()
+    y = np.array([r["toxic"] for r in rows], float)
     if len(set(y)) == 2:
-        model.weights = tuple(float(w) for w in _logistic(np.array(x), y))
+        model.weights = tuple(float(w) for w in _logistic(np.array([(r["best"], r["every"]) for r in rows]), y))
     else:
         model.weights = ((30.0 if len(y) and y[0] else -30.0), 0.0, 0.0)
     return model
@@ -246,7 +279,8 @@ def _unpacked(x) -> Model:
 
 
 def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """docs' `columns`, score and passages for every row; null and empty texts get the score of no evidence.
+    """docs' `columns`, score and passages for every row; null and empty texts get the score of no evidence. An empty
+    table gives no rows, and a text of any length takes time linear in it.
 
     passages: array of (start, end, evidence), each a significant segment by its characters.
     """

@@ -36,7 +36,6 @@ def test_model_equals_brute_force_frequencies(spark):
     of = {}
     for (kind, u, lang), n in counts.items():
         of.setdefault((kind, u), {})[lang] = n
-    of = {k: v for k, v in of.items() if sum(v.values()) > 1}
     assert set(model.words) == {u for k, u in of if k == "w"}
     total = {lang: sum(v.get(lang, 0) for (k, _), v in of.items() if k == "w") for lang in ("de", "en")}
     n = sum(k == "w" for k, _ in of)
@@ -59,6 +58,61 @@ def test_predictions_and_odd_texts(spark):
     assert got == {(1, "und"), (1, "en"), (None, "de")}
 
 
+def brute_predict(data, text, longest=4):
+    """(language, score) from the texts by definition."""
+    import math
+
+    counts, langs = brute_counts(data, longest), sorted({x for *_, x in data})
+    kinds = {k: sorted({u for kind, u, _ in counts if kind == k}) for k in ("w", *map(str, range(1, longest + 1)))}
+    log = {}
+    for k, names in kinds.items():
+        for x in langs:
+            total = sum(counts[k, u, x] for u in names)
+            for u in names:
+                log[k, u, x] = math.log((counts[k, u, x] + 0.1) / (total + 0.1 * len(names)))
+    floor = {x: min(v for (*_, y), v in log.items() if y == x) - 1 for x in langs}
+
+    def word(w, x):
+        if ("w", w, x) in log:
+            return log["w", w, x]
+        for n in range(min(longest, len(w) + 2), 0, -1):
+            grams = [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+            if any((str(n), g, x) in log for g in grams):
+                return sum(log.get((str(n), g, x), floor[x]) for g in grams) / len(grams)
+        return floor[x]
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    mean = {x: sum(word(w, x) for w in words) / len(words) for x in langs}
+    best = max(langs, key=lambda x: mean[x])
+    return best, 1 / sum(math.exp(v - mean[best]) for v in mean.values())
+
+
+def test_predictions_equal_brute_force(spark):
+    import random
+
+    data, rng = [*rows(), (90, "una casa y otra casa", "es")], random.Random(4)
+    model = fit(spark, data)
+    for _ in range(200):
+        text = " ".join(rng.choice([*EN, *DE, "casa", "otrasX", "qq", "thehaus", "zzz", "ø", "it"]) for _ in range(rng.randint(1, 12)))
+        want = brute_predict(data, text)
+        got = model.predict(text)
+        assert abs(got[1] - want[1]) < 1e-4 and (got[0] == want[0] or want[1] < 0.51)
+
+
+def test_letters_marks_and_numerals(spark):
+    model = fit(spark, [*rows(), (91, "हिन्दी में लिखा", "hi"), (92, "e\u0301te\u0301", "fr")])
+    for text in ("½ ² Ⅷ ①", "\u0301\u0302", "12 ३४ _"):
+        assert model.predict(text) == ("und", 0.0)
+    assert {"हिन्दी", "e\u0301te\u0301"} <= set(model.words)
+    assert model.predict("हिन्दी ½")[0] == "hi"
+
+
+def test_empty_table(spark):
+    model = fit(spark, [])
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert langid.predict(df, model, ["doc_id"]).count() == 0
+
+
 def test_the_cache_starts_anew(monkeypatch):
     import numpy as np
 

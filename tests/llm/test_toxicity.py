@@ -39,6 +39,81 @@ def test_segments_equal_their_definition():
         assert np.allclose([x for *_, x in got], [x for *_, x in want])
 
 
+def test_segments_take_linear_time():
+    import time
+
+    for scores in ([3.0, -0.1, *[-0.05] * 98], [1.0, -2.0], [2.0, -1.0], [1.0, -1.0, 1.5, -1.5]):
+        found, began = toxicity.Segments(), time.perf_counter()
+        many = np.tile(np.array(scores), 2_000_000 // len(scores))
+        for part in np.array_split(many, 40):
+            found.add(part)
+        assert time.perf_counter() - began < 20 and found.n == len(many)
+
+
+def brute_score(model, text):
+    """The probability of a text by definition, from the model's numbers."""
+    import math
+    import re
+
+    words = re.findall(r"[a-z]+", text.lower())
+    score = []
+    for w in words:
+        known = [model.of[u] for u in [w, *(w[:n] + "-" for n in (8, 7, 6, 5, 4) if n < len(w))] if u in model.of]
+        score.append(max(known, key=abs, default=0.0) - model.drift)
+    base = model.log_k + math.log(max(len(words), 1))
+    evidence = [model.rate * s - base for *_, s in brute_segments(score)]
+    z = model.weights[0] + model.weights[1] * math.asinh(max(evidence, default=-base))
+    z += model.weights[2] * math.log1p(sum(e for e in evidence if e > math.log(20)))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_model_and_scores_equal_brute_force(spark):
+    import math
+
+    docs, labels = corpus(400)
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, lb)
+    assert (model.scores < 0).any() and (model.scores > 0).any()
+    half = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id) % 2 as h").collect()}
+    import xxhash
+
+    first = {}  # of texts with the same smallest shingle hash one counts
+    for (i, text), (_, y) in zip(docs, labels, strict=True):
+        w = text.split()
+        first.setdefault((y, min(xxhash.xxh64_intdigest(" ".join(x)) for x in zip(w, w[1:], w[2:])) % 2**62), i)
+    pairs = [(d, y) for d, (_, y) in zip(docs, labels, strict=True) if d[0] in set(first.values())]
+    n = {}
+    for (i, text), y in pairs:
+        if half[i] == 0:
+            for u in {u for w in set(text.split()) for u in [w, *(w[:k] + "-" for k in (8, 7, 6, 5, 4) if k < len(w))]}:
+                n.setdefault(u, [0, 0])[y] += 1
+    assert set(model.of) == set(n)
+    t0, t1 = (sum(x[y] for x in n.values()) for y in (0, 1))
+    for u, (a, b) in n.items():
+        prior = 0.5 + 1000 * (a + b) / (t0 + t1)
+        log = math.log((b + prior) / (t1 + 1000 - b - prior)) - math.log((a + prior) / (t0 + 1000 - a - prior))
+        z = log / math.sqrt(1 / (a + prior) + 1 / (b + prior))
+        assert math.isclose(model.of[u], log * z**8 / (z**8 + 3.5**8), abs_tol=1e-9)
+    # The law: rate solves sum(share * exp(rate * score)) = 1 over clean words, log_k is the likeliest given it.
+    clean = [t for (i, t), y in pairs if half[i] != 0 and y == 0]
+    words = [round(100 * model.word(w)) / 100 for t in clean for w in t.split()]
+    if max(words) > 0:
+        assert abs(sum(math.exp(model.rate * s) for s in words) / len(words) - 1) < 1e-3
+    else:  # no root
+        assert model.rate == 1.0
+    assert abs(0.75 * math.exp(-2 * (r := toxicity._rate(np.array([-2.0, 1.0]), np.array([0.75, 0.25])))) + 0.25 * math.exp(r) - 1) < 1e-6
+    tops = [(len(t.split()), max((s for *_, s in brute_segments([model.word(w) for w in t.split()])), default=0.0)) for t in clean]
+    assert math.isclose(model.log_k, math.log(len(tops)) - math.log(sum(k * math.exp(-model.rate * s) for k, s in tops)), rel_tol=1e-6)
+    rows = spark.createDataFrame(docs[:60], "doc_id long, text string")
+    for r in toxicity.score(rows, model, ["doc_id"]).collect():
+        assert math.isclose(r.score, brute_score(model, docs[r.doc_id][1]), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_empty_tables(spark):
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"]).count() == 0
+
+
 def corpus(n=300):
     rng = random.Random(1)
     words = [f"w{a}{b}" .replace("0", "a").replace("1", "b") for a in "abcdefgh" for b in "klmnop"]
