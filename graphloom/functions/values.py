@@ -92,3 +92,8 @@ def sequential_pick(worker: Column, i: Column, n: int) -> Column:
 
 def cache_split(total: int) -> tuple[int, int, int]:
     return total * 40 // 100, total * 30 // 100, total * 30 // 100
+
+
+def aligned(n: Column, block: int = 512) -> Column:
+    """n bytes rounded up to whole blocks."""
+    return (F.ceil(n / F.lit(block)) * F.lit(block)).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,8 @@ def last_before(rows: DataFrame, key: str, order: str, value: str, out: str, buc
     earlier ranges is carried in, so a key with a large share of the rows is no single task.
     """
     cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0]
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    dealt = rows.withColumn("_b_", F.size(F.filter(edges, lambda e: e < F.col(order).cast("double"))))
+    above = [F.when(F.col(order).cast("double") > F.lit(float(c)), 1).otherwise(0) for c in sorted(set(cuts or []))]
+    dealt = rows.withColumn("_b_", reduce(lambda a, b: a + b, above, F.lit(0)))
     inside = Window.partitionBy(key, "_b_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     near = dealt.withColumn("_near_", F.last(value, ignorenulls=True).over(inside))
     ends = dealt.groupBy(key, "_b_").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end_"))

@@ -21,7 +21,7 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def fixed(log: DataFrame) -> list[str]:
-    return [c for c in log.columns if c not in ("id", "seq", "op", "props", "version")]
+    return [c for c in log.columns if c not in ("id", "seq", "op", "props", "version", "checksum")]
 
 
 def _bases(log: DataFrame) -> DataFrame:
@@ -32,19 +32,30 @@ def _bases(log: DataFrame) -> DataFrame:
     return last.select("id", F.col("r.seq").alias("base"), F.col("r.op").alias("base_op"), F.col("r.props").alias("base_props"), F.col("r.version").alias("base_version"), *[F.col(f"r.{c}").alias(c) for c in fixed(log)])
 
 
-def resolve(log: DataFrame) -> DataFrame:
-    """The live records: (id, props, version, seq, the fixed columns).
+def last_entries(log: DataFrame) -> DataFrame:
+    """Of each id that the log puts or deletes what stands at its end: (id, seq, op, props, version, the fixed columns);
+    op is PUT or DELETE, of a deleted id version is null and seq that of the deletion.
 
-    Only aggregates and one join by id: a record with a long history is summed before it is shuffled.
+    Each property's last value is found without regard to the record, so patches combine before they are shuffled however
+    many a record has; which of them come after its last PUT is then seen from their seq. Only the number of patched keys
+    needs the patches one by one, and these meet their record without properties.
     """
-    bases = _bases(log).where("base_op = 'PUT'")
-    patches = log.where("op = 'PATCH'").select("id", "seq", "props").join(bases.select("id", "base"), "id").where("seq > base")
-    keys = patches.select("id", "seq", F.explode_outer("props").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"), F.count("k").alias("n"), F.max("seq").alias("last"))
-    new = keys.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("new"), F.sum("n").alias("sets"), F.max("last").alias("last"))
-    found = bases.join(new, "id", "left")
+    bases = _bases(log)
+    patches = log.where("op = 'PATCH'").select("id", "seq", "props")
+    keys = patches.select("id", "seq", F.explode("props").alias("k", "v")).groupBy("id", "k").agg(F.max("seq").alias("s"), F.max_by("v", "seq").alias("v"))
+    live = bases.where("base_op = 'PUT'").select("id", "base")
+    new = keys.join(live, "id").where("s > base").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("new"))
+    sizes = patches.select("id", "seq", F.size("props").alias("n")).join(live, "id").where("seq > base").groupBy("id").agg(F.sum("n").alias("sets"), F.max("seq").alias("last"))
+    found = bases.join(new, "id", "left").join(sizes, "id", "left")
     kept = F.when(F.col("new").isNull(), F.col("base_props")).otherwise(F.map_concat(F.map_filter("base_props", lambda k, _: ~F.map_contains_key("new", k)), "new"))
     start = F.coalesce("base_version", 1 + F.size("base_props"))
-    return found.select("id", kept.alias("props"), (start + F.coalesce("sets", F.lit(0))).cast("long").alias("version"), F.coalesce("last", "base").alias("seq"), *fixed(log))
+    version = F.when(F.col("base_op") == "PUT", (start + F.coalesce("sets", F.lit(0))).cast("long"))
+    return found.select("id", F.coalesce("last", "base").alias("seq"), F.col("base_op").alias("op"), kept.alias("props"), version.alias("version"), *fixed(log))
+
+
+def resolve(log: DataFrame) -> DataFrame:
+    """The live records: (id, props, version, seq, the fixed columns)."""
+    return last_entries(log).where("op = 'PUT'").select("id", "props", "version", "seq", *fixed(log))
 
 
 def rejected(log: DataFrame) -> DataFrame:
@@ -99,10 +110,21 @@ def valid_props(props):
     return F.forall(F.map_values(props), lambda v: F.coalesce(F.schema_of_variant(v).isin(*[names[t] for t in TYPES]), F.lit(False)))
 
 
+def _checksum(log: DataFrame):
+    own = [F.to_json(F.struct(*fixed(log)))] if fixed(log) else []
+    return F.crc32(F.concat_ws("|", "id", F.col("seq").cast("string"), "op", F.coalesce(F.to_json("props"), F.lit("")), *own).cast("binary"))
+
+
 def with_checksum(log: DataFrame) -> DataFrame:
-    """log and the crc32 of each row's id, order, operation and properties as JSON."""
-    text = F.concat_ws("|", "id", F.col("seq").cast("string"), "op", F.coalesce(F.to_json("props"), F.lit("")))
-    return log.withColumn("checksum", F.crc32(text.cast("binary")))
+    """log and the crc32 of each row's id, order, operation and properties as JSON, and of its fixed columns if it has any."""
+    return log.withColumn("checksum", _checksum(log))
+
+
+def verified(log: DataFrame) -> DataFrame:
+    """log without its checksum column; a row that doesn't match it fails the query."""
+    wrong = F.raise_error(F.concat(F.lit("checksum mismatch of id "), F.coalesce("id", F.lit("null")))).cast("boolean")
+    # A test that is not deterministic stays apart from later filters, whose constants would else enter the checksum.
+    return log.where(F.when(_checksum(log) == F.col("checksum"), F.monotonically_increasing_id() >= 0).otherwise(wrong)).drop("checksum")
 
 
 def stats(log: DataFrame) -> DataFrame:

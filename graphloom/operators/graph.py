@@ -30,24 +30,27 @@ def with_label(nodes: DataFrame, label: str) -> DataFrame:
     return nodes.where(F.array_contains("labels", label))
 
 
-def _seeds(edges: DataFrame, seeds: DataFrame | str, end: str) -> DataFrame:
-    """Edges with `seed`, the end they start from; a literal seed stays a filter that the scan can use."""
+def _seeds(edges: DataFrame, seeds: DataFrame | str | None, end: str) -> DataFrame:
+    """Edges with `seed`, the end they start from: of one id, of a frame of ids, or, without seeds, of all edges. An id
+    is a filter on the end; a source that can turn it into one on its keys (`sources.tables.edges_at`) does so itself."""
+    if seeds is None:
+        return edges.withColumn("seed", F.col(end))
     if isinstance(seeds, str):
         return edges.where(F.col(end) == F.lit(seeds)).withColumn("seed", F.col(end))
     return edges.join(seeds.select(F.col("id").alias("seed")).distinct(), F.col(end) == F.col("seed"))
 
 
-def out_edges(edges: DataFrame, seeds: DataFrame | str, kind: str | None = None) -> DataFrame:
+def out_edges(edges: DataFrame, seeds: DataFrame | str | None, kind: str | None = None) -> DataFrame:
     found = edges if kind is None else edges.where(F.col("type") == kind)
     return _seeds(found, seeds, "src")
 
 
-def in_edges(edges: DataFrame, seeds: DataFrame | str, kind: str | None = None) -> DataFrame:
+def in_edges(edges: DataFrame, seeds: DataFrame | str | None, kind: str | None = None) -> DataFrame:
     found = edges if kind is None else edges.where(F.col("type") == kind)
     return _seeds(found, seeds, "dst")
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | str, direction: Direction | int) -> DataFrame:
+def neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | str | None, direction: Direction | int) -> DataFrame:
     """(seed, id, labels): the distinct nodes at the other ends; ends without a node drop out, other directions give none."""
     ends = {0: [("src", "dst")], 1: [("dst", "src")], 2: [("src", "dst"), ("dst", "src")]}.get(int(direction), [])
     found = None

@@ -58,6 +58,14 @@ def hit_rate(accesses: DataFrame) -> DataFrame:
     return found.withColumn("rate", F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("hits") + F.col("misses")), F.lit(0.0)))
 
 
+def lru_cache(accesses: DataFrame, capacity: int) -> DataFrame:
+    """accesses (key, at; at unique) to (key, cached): whether a cache of `capacity` keys that evicts the least recently
+    used one holds the key after them. The last `capacity` keys by last access are found as a top-k, without one sort of all."""
+    last = accesses.groupBy("key").agg(F.max("at").alias("at"))
+    kept = last.orderBy(F.desc("at")).limit(capacity).select("key", F.lit(True).alias("cached"))
+    return last.select("key").join(kept, "key", "left").select("key", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 def lane_stats(rows: DataFrame, lanes: int = 16) -> DataFrame:
     """(lane, n, bytes) of rows (id, bytes)."""
     return rows.groupBy(lane(F.col("id"), lanes).alias("lane")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))

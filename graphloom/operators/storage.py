@@ -1,4 +1,4 @@
-"""Sorted runs, their merge, the manifest and what compaction picks from it.
+"""Sorted runs, their merge, the manifest of tables and what compaction picks from it.
 
 manifest: path, level int, size long, entries long, min_key, max_key. It is one row a file and small, so picking a
 group to compact may sort it as a whole.
@@ -6,13 +6,9 @@ group to compact may sort it as a whole.
 
 from __future__ import annotations
 
-import json
-import posixpath
-import time
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,7 +47,15 @@ def pick_by_size(manifest: DataFrame) -> DataFrame:
 
 
 def pick_level0(manifest: DataFrame) -> DataFrame:
-    return manifest.where("level = 0").orderBy("path").limit(GROUP)
+    """The first four tables of level 0 by path; none if there are fewer."""
+    found = manifest.where("level = 0").orderBy("path").limit(GROUP)
+    # Four rows at most and one: both sides are bounded.
+    return found.crossJoin(F.broadcast(found.agg((F.count("*") == GROUP).alias("_full_")))).where("_full_").drop("_full_")
+
+
+def next_level(levels: list[int]) -> int:
+    """The level of a table merged from tables of these levels."""
+    return max(levels, default=0) + 1
 
 
 def replace(manifest: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
@@ -70,98 +74,3 @@ def stats(manifest: DataFrame) -> DataFrame:
 
 def levels(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("level").agg(F.count("*").alias("tables"), F.sum("size").alias("size"))
-
-
-class Store:
-    """A change log and snapshots under one folder, tied together by a manifest that is replaced by renaming.
-
-    Readers resolve the manifest once: snapshot and the log rows after it. A commit writes new folders first and moves
-    the pointer last, so a lost writer leaves the old state. Works on any file system that Spark reaches.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, fixed: str = ""):
-        """fixed: the records' fixed columns as a schema, such as "src string, dst string, type string"."""
-        self.spark, self.path = spark, path.rstrip("/")
-        self.schema = "id string, seq long, op string, props map<string,variant>" + (f", {fixed}" if fixed else "")
-        self.columns = ["id", "seq", "op", "props", *(x.split()[0] for x in fixed.split(", ") if x)]
-        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
-
-    def _at(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(self.path, *parts))
-
-    def _fs(self):
-        return self._at("x").getFileSystem(self._conf)
-
-    def manifest(self) -> dict:
-        fs, at = self._fs(), self._at("MANIFEST.json")
-        if not fs.exists(at):
-            return {"version": 0, "snapshot": None, "upto": -1, "last": -1, "segments": [], "batches": []}
-        rows = self.spark.read.text(at.toString(), wholetext=True).first()
-        return json.loads(rows[0])
-
-    def commit(self, found: dict) -> None:
-        fs, new, at = self._fs(), self._at(f"MANIFEST-{uuid.uuid4().hex}.tmp"), self._at("MANIFEST.json")
-        found = {**found, "version": found["version"] + 1, "updated_at": int(time.time())}
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(found).encode()))
-        out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self._conf)
-        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        flags = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        flags[0] = overwrite
-        context.rename(new, at, flags)
-
-    def append(self, log: DataFrame, batch: int | None = None) -> bool:
-        """Adds log rows (id, seq, op, props) as a segment; a batch number that is already in is skipped."""
-        found = self.manifest()
-        if batch is not None and batch in found["batches"]:
-            return False
-        name = f"log/{uuid.uuid4().hex}"
-        log.select(*self.columns).write.parquet(posixpath.join(self.path, name))
-        found["segments"].append(name)
-        if batch is not None:
-            found["batches"].append(batch)
-        top = self.spark.read.schema(self.schema).parquet(posixpath.join(self.path, name)).agg(F.max("seq")).first()[0]
-        self.commit({**found, "last": max(found["last"], -1 if top is None else top)})
-        return True
-
-    def log(self, after: int = -1) -> DataFrame:
-        found = self.manifest()
-        if not found["segments"]:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[posixpath.join(self.path, s) for s in found["segments"]]).where(F.col("seq") > after)
-
-    def state(self) -> DataFrame:
-        """The live records: snapshot and later log rows."""
-        from graphloom.operators.changelog import recover, resolve
-
-        found = self.manifest()
-        if not found["snapshot"]:
-            return resolve(self.log())
-        return recover(self.spark.read.parquet(posixpath.join(self.path, found["snapshot"])), self.log(), found["upto"])
-
-    def compact(self) -> None:
-        """Writes the state as a snapshot sorted by id and drops the log it covers."""
-        found = self.manifest()
-        upto = self.log().agg(F.max("seq")).first()[0]
-        if upto is None:
-            return
-        name = f"snapshot/{uuid.uuid4().hex}"
-        write_run(self.state(), posixpath.join(self.path, name))
-        old = [*found["segments"], *([found["snapshot"]] if found["snapshot"] else [])]
-        self.commit({**found, "snapshot": name, "upto": upto, "segments": []})
-        for o in old:
-            self._fs().delete(self._at(o), True)
-
-    def verify(self) -> list[str]:
-        """Listed folders that are not there."""
-        found = self.manifest()
-        return [p for p in [*found["segments"], *([found["snapshot"]] if found["snapshot"] else [])] if not self._fs().exists(self._at(p))]
-
-    def checkpoint(self) -> str:
-        """A copy of the manifest under a name with its time."""
-        name = f"MANIFEST-{int(time.time() * 1000)}.json"
-        out = self._fs().create(self._at(name), True)
-        out.write(bytearray(json.dumps(self.manifest()).encode()))
-        out.close()
-        return name

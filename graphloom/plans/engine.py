@@ -10,10 +10,15 @@ from pyspark.storagelevel import StorageLevel
 from graphloom.functions.values import edge_size, node_size
 from graphloom.operators import changelog, graph, metrics
 from graphloom.operators.graph import Direction
-from graphloom.operators.storage import Store
+from graphloom.operators.store import Store
 from graphloom.sources.tables import variants
 
 
+def named():
+    """Whether a record has an id that can be a key."""
+    return F.coalesce(F.length("id") > 0, F.lit(False))
+
+
 class Engine:
     """Nodes (id, labels, props) and edges (id, src, dst, type, props) with properties as map<string,variant>.
 
@@ -50,7 +55,6 @@ class Engine:
 
     # -- writes
     def _write(self, store: Store, rows: DataFrame, op: str) -> None:
-        base = store.manifest()["last"] + 1
         types = {c: t for c, t in zip(store.columns, self.spark.createDataFrame([], store.schema).schema, strict=True)}
         dealt = rows.withColumn("op", F.lit(op))
         for c, t in types.items():
@@ -58,20 +62,29 @@ class Engine:
                 dealt = dealt.withColumn(c, F.lit(None).cast(t.dataType))
         # A store's order is by id: rows of one call that share an id get numbers of their own, others may share them.
         by = Window.partitionBy("id").orderBy(F.monotonically_increasing_id())
-        store.append(dealt.withColumn("seq", (F.lit(base) + F.row_number().over(by) - 1).cast("long")))
+        store.append(dealt.withColumn("seq", (F.row_number().over(by) - 1).cast("long")), relative=True)
         self.cool()
 
     def create_nodes(self, rows: DataFrame) -> DataFrame:
-        """Upserts whole records; returns those rejected for a property type."""
-        ok = changelog.valid_props(F.col("props"))
+        """Upserts whole records; returns those rejected for a property type or for a null or empty id."""
+        ok = changelog.valid_props(F.col("props")) & named()
         self._write(self._nodes, rows.where(ok), "PUT")
         return rows.where(~ok)
 
     def update_nodes(self, patches: DataFrame) -> DataFrame:
-        """Merges patches (id, props) into their nodes; returns those without a node."""
-        known = self.nodes().select("id")
-        self._write(self._nodes, patches.join(known, "id", "left_semi"), "PATCH")
-        return patches.join(known, "id", "left_anti")
+        """Merges patches (id, props) into their nodes; returns those without a node. If patches have expected_version,
+        those whose node has another version by now are returned too: optimistic locking."""
+        return self._update(self._nodes, self.nodes(), patches)
+
+    def _update(self, store: Store, state: DataFrame, patches: DataFrame) -> DataFrame:
+        found = patches.join(state.select("id", F.col("version").alias("_v_")), "id", "left")
+        ok = F.col("_v_").isNotNull()
+        if "expected_version" in patches.columns:
+            ok &= F.coalesce(F.col("_v_") == F.col("expected_version"), F.lit(False))
+        # Decided once: the state changes with the write.
+        found = found.withColumn("_ok_", ok).drop("_v_").persist(StorageLevel.MEMORY_AND_DISK)
+        self._write(store, found.where("_ok_").drop("_ok_"), "PATCH")
+        return found.where("not _ok_").select(*patches.columns)
 
     def delete_nodes(self, ids: DataFrame) -> None:
         """Deletes nodes and the edges that touch them."""
@@ -82,25 +95,24 @@ class Engine:
         self._write(self._nodes, gone.withColumn("props", variants({})), "DELETE")
 
     def create_edges(self, rows: DataFrame) -> DataFrame:
-        """Upserts edges whose ends exist; returns the others with a reason (source before target)."""
-        ok, bad = graph.create_edges(rows, self.nodes())
+        """Upserts edges whose ends exist; returns the others with a reason (id, then source, then target)."""
+        ok, bad = graph.create_edges(rows.where(named()), self.nodes())
         self._write(self._edges, ok, "PUT")
-        return bad
+        return bad.unionByName(rows.where(~named()).withColumn("reason", F.lit("id")))
 
     def update_edges(self, patches: DataFrame) -> DataFrame:
-        known = self.edges().select("id")
-        self._write(self._edges, patches.join(known, "id", "left_semi"), "PATCH")
-        return patches.join(known, "id", "left_anti")
+        """As update_nodes."""
+        return self._update(self._edges, self.edges(), patches)
 
     def delete_edges(self, ids: DataFrame) -> None:
         self._write(self._edges, ids.select("id").distinct().withColumn("props", variants({})), "DELETE")
 
     # -- reads
     def get_node(self, id_: str) -> DataFrame:
-        return graph.by_id(self.nodes(), id_)
+        return graph.by_id(self.nodes(), id_) if self._held else self._nodes.get([id_])
 
     def get_edge(self, id_: str) -> DataFrame:
-        return graph.by_id(self.edges(), id_)
+        return graph.by_id(self.edges(), id_) if self._held else self._edges.get([id_])
 
     def out_edges(self, seeds: DataFrame | str, kind: str | None = None) -> DataFrame:
         return graph.out_edges(self._held["by_src"] if self._held else self.edges(), seeds, kind)
@@ -119,10 +131,19 @@ class Engine:
         return lanes[0].union(lanes[1])
 
     # -- upkeep
-    def compact(self) -> None:
-        self._nodes.compact()
-        self._edges.compact()
+    def flush(self) -> None:
+        self._nodes.flush()
+        self._edges.flush()
+
+    def compact(self, policy: str = "full") -> None:
+        self._nodes.compact(policy)
+        self._edges.compact(policy)
         self.cool()
 
+    def counters(self) -> DataFrame:
+        """(kind, counter, n) of flushes and compactions."""
+        n, e = (x.counters().select(F.lit(k).alias("kind"), "counter", "n") for k, x in (("node", self._nodes), ("edge", self._edges)))
+        return n.union(e)
+
     def verify(self) -> list[str]:
         return self._nodes.verify() + self._edges.verify()

@@ -9,7 +9,7 @@ from graphloom.functions import values as V
 from graphloom.operators import changelog, graph, metrics, storage
 from graphloom.operators.graph import Direction
 from graphloom.plans import workload
-from graphloom.sources.tables import NODES, edges, events_log, key, nodes, table
+from graphloom.sources.tables import NODES, edge, edges, edges_at, edges_of, events_log, key, node, node_range, nodes, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,18 +64,18 @@ def scan_limit(spark, d):
 
 @query(f"with {N} select id, label from n where id >= 'order:2' and id < 'order:3'")
 def range_scan(spark, d):
-    return graph.in_range(_flat(nodes(spark, d)), "order:2", "order:3")
+    return _flat(node_range(spark, d, "order:2", "order:3"))
 
 
 @query("select concat('customer:', cast(c_custkey as varchar(20))) as id, c_name as name, c_acctbal as acctbal, c_mktsegment as mktsegment, cast(4 as bigint) as version from customer where c_custkey = 7")
 def get_node(spark, d):
     p = lambda k, t: V.get_property(F.col("props"), k, t).alias(k)
-    return graph.by_id(nodes(spark, d, "Customer"), "customer:7").select("id", p("name", "string"), p("acctbal", "double"), p("mktsegment", "string"), "version")
+    return node(spark, d, "customer:7").select("id", p("name", "string"), p("acctbal", "double"), p("mktsegment", "string"), "version")
 
 
 @query(f"with {E} select id, src, dst, type from e where id = 'placed:5'")
 def get_edge(spark, d):
-    return graph.by_id(edges(spark, d), "placed:5").select("id", "src", "dst", "type")
+    return edge(spark, d, "placed:5").select("id", "src", "dst", "type")
 
 
 @query(f"with {N} select id from n where label = 'Customer'")
@@ -99,12 +99,12 @@ def key_status(spark, d):
 
 @query(f"with {E} select id, src, dst, type from e where src = 'customer:7'")
 def out_edges(spark, d):
-    return graph.out_edges(edges(spark, d), "customer:7").select("id", "src", "dst", "type")
+    return graph.out_edges(edges_at(spark, d, "customer:7", "src"), "customer:7").select("id", "src", "dst", "type")
 
 
 @query(f"with {E} select id, src, dst, type from e where dst = 'part:5'")
 def in_edges(spark, d):
-    return graph.in_edges(edges(spark, d), "part:5").select("id", "src", "dst", "type")
+    return graph.in_edges(edges_at(spark, d, "part:5", "dst"), "part:5").select("id", "src", "dst", "type")
 
 
 @query(f"with {E} select id, src, dst, type from e where src like 'part:%' and type = 'SUPPLIED_BY'")
@@ -114,17 +114,17 @@ def out_edges_by_type(spark, d):
 
 @query(f"with {N}, {E} select distinct e.src as seed, n.id, n.label from e join n on n.id = e.dst where e.src like 'customer:%'")
 def neighbors_out(spark, d):
-    return graph.neighbors(nodes(spark, d), edges(spark, d), nodes(spark, d, "Customer"), Direction.OUT).select("seed", "id", F.col("labels")[0].alias("label"))
+    return graph.neighbors(nodes(spark, d, "Order", "Nation"), edges_of(spark, d, "Customer", "src"), None, Direction.OUT).select("seed", "id", F.col("labels")[0].alias("label"))
 
 
 @query(f"with {N}, {E} select distinct e.dst as seed, n.id, n.label from e join n on n.id = e.src where e.dst like 'supplier:%'")
 def neighbors_in(spark, d):
-    return graph.neighbors(nodes(spark, d), edges(spark, d), nodes(spark, d, "Supplier"), Direction.IN).select("seed", "id", F.col("labels")[0].alias("label"))
+    return graph.neighbors(nodes(spark, d, "Part"), edges_of(spark, d, "Supplier", "dst"), None, Direction.IN).select("seed", "id", F.col("labels")[0].alias("label"))
 
 
 @query(f"with {N}, {E}, p as (select src as seed, dst as id from e where src like 'nation:%' union select dst, src from e where dst like 'nation:%') select p.seed, n.id, n.label from p join n on n.id = p.id")
 def neighbors_both(spark, d):
-    return graph.neighbors(nodes(spark, d), edges(spark, d), nodes(spark, d, "Nation"), Direction.BOTH).select("seed", "id", F.col("labels")[0].alias("label"))
+    return graph.neighbors(nodes(spark, d, "Customer", "Supplier", "Region"), edges(spark, d, "LOCATED_IN", "PART_OF"), nodes(spark, d, "Nation"), Direction.BOTH).select("seed", "id", F.col("labels")[0].alias("label"))
 
 
 @query(f"with {E}, x as (select src as id, count(distinct id) as o, 0 as i from e group by src union all select dst, 0, count(distinct id) from e group by dst) select id, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from x group by id")
@@ -292,7 +292,7 @@ def compaction_pick(spark, d):
     return storage.pick_by_size(_manifest(spark, d))
 
 
-@query(f"with {_M} select path, level, size from m where level = 0 order by path limit 4")
+@query(f"with {_M} select path, level, size from m where level = 0 and (select count(*) from m where level = 0) >= 4 order by path limit 4")
 def compaction_pick_leveled(spark, d):
     return storage.pick_level0(_manifest(spark, d))
 
@@ -431,12 +431,12 @@ def stream_apply(spark, d):
     """The event log written as files, streamed in micro-batches into a store, and the store's state."""
     import uuid
 
-    from graphloom.operators.storage import Store
+    from graphloom.operators.store import Store
     from graphloom.session import ensure_checkpoints
     from graphloom.streaming.apply import apply, read_log
 
     base = f"{ensure_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
     events_log(spark, d).repartition(4, "id").write.parquet(f"{base}/in")
     store = Store(spark, f"{base}/store")
-    apply(read_log(spark, f"{base}/in", 2), store, f"{base}/progress", compact_every=0).awaitTermination()
+    apply(read_log(spark, f"{base}/in", 2), store, f"{base}/progress", compact_every=2).awaitTermination()
     return _state(store.state())

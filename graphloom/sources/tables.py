@@ -8,6 +8,10 @@ scan, so a query that needs ids alone reads ids alone.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,39 +41,45 @@ def variants(pairs: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("variant"))])
 
 
-def nodes(spark: SparkSession, sf_dir: str, *labels: str) -> DataFrame:
-    """The nodes of the given labels, or of all."""
+def nodes(spark: SparkSession, sf_dir: str, *labels: str, where: Callable[[str], Column] | None = None) -> DataFrame:
+    """The nodes of the given labels, or of all; where, if given, gets a table's key column and filters its rows."""
     found = None
     for label in labels or NODES:
         name, id_, props = NODES[label]
         df = table(spark, sf_dir, name)
+        df = df.where(where(id_)) if where else df
         of = {k: F.col(c).cast("long") if df.schema[c].dataType.typeName() == "integer" else F.col(c) for k, c in props.items()}
         own = df.select(key(label.lower(), id_).alias("id"), F.array(F.lit(label)).alias("labels"), variants(of).alias("props"), F.lit(1 + len(of)).cast("long").alias("version"))
         found = own if found is None else found.unionByName(own)
     return found
 
 
-def edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    """The edges of the given types, or of all. Line items are no keys: repeated pairs become one edge with sums."""
+def edges(spark: SparkSession, sf_dir: str, *types: str, where: Callable[[tuple], Column] | None = None) -> DataFrame:
+    """The edges of the given types, or of all. Line items are no keys: repeated pairs become one edge with sums.
+    where, if given, gets an entry of ENDS and filters the rows of its table before these meet."""
+
+    def own(name, kind, place=0):
+        rows = table(spark, sf_dir, name)
+        return rows.where(where(ENDS[kind][place])) if where else rows
 
     def plain(df, id_, src, dst, kind):
         return df.select(id_.alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), variants({}).alias("props"), F.lit(1).cast("long").alias("version"))
 
     def contains():
-        items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
+        items = own("lineitem", "CONTAINS").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
         props = variants({"qty": F.col("qty"), "n": F.col("n")})
         return items.select(key("contains", "l_orderkey", "l_partkey").alias("id"), key("order", "l_orderkey").alias("src"), key("part", "l_partkey").alias("dst"), F.lit("CONTAINS").alias("type"), props.alias("props"), F.lit(3).cast("long").alias("version"))
 
     def located():
-        c = plain(table(spark, sf_dir, "customer"), key("located:customer", "c_custkey"), key("customer", "c_custkey"), key("nation", "c_nationkey"), "LOCATED_IN")
-        return c.unionByName(plain(table(spark, sf_dir, "supplier"), key("located:supplier", "s_suppkey"), key("supplier", "s_suppkey"), key("nation", "s_nationkey"), "LOCATED_IN"))
+        c = plain(own("customer", "LOCATED_IN"), key("located:customer", "c_custkey"), key("customer", "c_custkey"), key("nation", "c_nationkey"), "LOCATED_IN")
+        return c.unionByName(plain(own("supplier", "LOCATED_IN", 1), key("located:supplier", "s_suppkey"), key("supplier", "s_suppkey"), key("nation", "s_nationkey"), "LOCATED_IN"))
 
     of = {
-        "PLACED": lambda: plain(table(spark, sf_dir, "orders"), key("placed", "o_orderkey"), key("customer", "o_custkey"), key("order", "o_orderkey"), "PLACED"),
+        "PLACED": lambda: plain(own("orders", "PLACED"), key("placed", "o_orderkey"), key("customer", "o_custkey"), key("order", "o_orderkey"), "PLACED"),
         "CONTAINS": contains,
-        "SUPPLIED_BY": lambda: plain(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), key("supplied", "l_partkey", "l_suppkey"), key("part", "l_partkey"), key("supplier", "l_suppkey"), "SUPPLIED_BY"),
+        "SUPPLIED_BY": lambda: plain(own("lineitem", "SUPPLIED_BY").select("l_partkey", "l_suppkey").distinct(), key("supplied", "l_partkey", "l_suppkey"), key("part", "l_partkey"), key("supplier", "l_suppkey"), "SUPPLIED_BY"),
         "LOCATED_IN": located,
-        "PART_OF": lambda: plain(table(spark, sf_dir, "nation"), key("partof", "n_nationkey"), key("nation", "n_nationkey"), key("region", "n_regionkey"), "PART_OF"),
+        "PART_OF": lambda: plain(own("nation", "PART_OF"), key("partof", "n_nationkey"), key("nation", "n_nationkey"), key("region", "n_regionkey"), "PART_OF"),
     }
     found = None
     for kind in types or of:
@@ -77,6 +87,102 @@ def edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     return found
 
 
+#: type: the label and key column of its source and of its target in the table it comes from; LOCATED_IN has two tables.
+ENDS = {
+    "PLACED": [("Customer", "o_custkey", "Order", "o_orderkey")],
+    "CONTAINS": [("Order", "l_orderkey", "Part", "l_partkey")],
+    "SUPPLIED_BY": [("Part", "l_partkey", "Supplier", "l_suppkey")],
+    "LOCATED_IN": [("Customer", "c_custkey", "Nation", "c_nationkey"), ("Supplier", "s_suppkey", "Nation", "s_nationkey")],
+    "PART_OF": [("Nation", "n_nationkey", "Region", "n_regionkey")],
+}
+
+
+def parsed(id_: str) -> tuple[str, int] | None:
+    """The label and key of a node's id; None if no node can have it."""
+    prefix, _, number = id_.partition(":")
+    label = next((x for x in NODES if x.lower() == prefix), None)
+    # Keys are written as plain numbers: no sign but a minus, no leading zeros.
+    return (label, int(number)) if label and re.fullmatch(r"0|-?[1-9][0-9]{0,18}", number) else None
+
+
+def node(spark: SparkSession, sf_dir: str, id_: str) -> DataFrame:
+    """The node of one id: its table alone is read, with a filter on the key that reaches the scan."""
+    found = parsed(id_)
+    rows = nodes(spark, sf_dir, found[0] if found else next(iter(NODES)), where=lambda key_: F.col(key_) == F.lit(found[1]) if found else F.lit(False))
+    return rows
+
+
+def node_range(spark: SparkSession, sf_dir: str, first: str, before: str) -> DataFrame:
+    """The nodes whose id lies in [first, before) byte by byte: only tables whose ids can are read. Within a table ids
+    are texts of numbers, whose order is not that of the keys; by number of digits both orders agree, so what reaches
+    the scan is a range of keys for each length."""
+    chosen = [x for x in NODES if first < f"{x.lower()};" and before > f"{x.lower()}:"]  # ; follows : in order
+
+    def where(label):
+        prefix = f"{label.lower()}:"
+
+        def test(key_):
+            found = F.col(key_) < 0  # rare; the exact test below decides
+            for n in range(1, 19):
+                # The keys of n digits whose text lies in the range.
+                low, high = 10 ** (n - 1) if n > 1 else 0, 10**n - 1
+                least = _first_at_least(first[len(prefix) :] if first.startswith(prefix) else ("" if first < prefix else ":"), n, low, high)
+                most = _first_at_least(before[len(prefix) :] if before.startswith(prefix) else ("" if before < prefix else ":"), n, low, high) - 1
+                if least <= most:
+                    found = found | F.col(key_).between(least, most)
+            return found
+
+        return test
+
+    frames = [nodes(spark, sf_dir, x, where=where(x)) for x in chosen] or [nodes(spark, sf_dir, next(iter(NODES)), where=lambda _: F.lit(False))]
+    return reduce(DataFrame.unionByName, frames).where((F.col("id") >= F.lit(first)) & (F.col("id") < F.lit(before)))
+
+
+def _first_at_least(text: str, n: int, low: int, high: int) -> int:
+    """The smallest number of n digits, low to high, whose text is not before `text`; high + 1 if none."""
+    while low <= high:
+        mid = (low + high) // 2
+        if str(mid) >= text:
+            high = mid - 1
+        else:
+            low = mid + 1
+    return low
+
+
+def edges_at(spark: SparkSession, sf_dir: str, id_: str, end: str) -> DataFrame:
+    """The edges whose `end`, src or dst, is one node: only types that can start or end there are read, each with a
+    filter on the key that reaches the scan, before repeated line items meet."""
+    found, side = parsed(id_), 0 if end == "src" else 2
+    kinds = [k for k, ends in ENDS.items() if found and any(e[side] == found[0] for e in ends)]
+    if not kinds:
+        return edges(spark, sf_dir, "PART_OF").where(F.lit(False))
+    keep = lambda ends: (F.col(ends[side + 1]) == F.lit(found[1])) if ends[side] == found[0] else F.lit(False)
+    return edges(spark, sf_dir, *kinds, where=keep)
+
+
+def edges_of(spark: SparkSession, sf_dir: str, label: str, end: str) -> DataFrame:
+    """The edges whose `end` has the label; of the other types and tables nothing is read."""
+    side = 0 if end == "src" else 2
+    kinds = [k for k, ends in ENDS.items() if any(e[side] == label for e in ends)]
+    keep = lambda ends: F.lit(ends[side] == label)
+    return edges(spark, sf_dir, *kinds, where=keep) if kinds else edges(spark, sf_dir, "PART_OF").where(F.lit(False))
+
+
+def edge(spark: SparkSession, sf_dir: str, id_: str) -> DataFrame:
+    """The edge of one id: its table alone is read, with filters on the keys that reach the scan."""
+    words = id_.split(":")
+    of = {"placed": ("PLACED", 0, ["o_orderkey"]), "contains": ("CONTAINS", 0, ["l_orderkey", "l_partkey"]), "supplied": ("SUPPLIED_BY", 0, ["l_partkey", "l_suppkey"]), "partof": ("PART_OF", 0, ["n_nationkey"])}
+    of |= {"located:customer": ("LOCATED_IN", 0, ["c_custkey"]), "located:supplier": ("LOCATED_IN", 1, ["s_suppkey"])}
+    name = ":".join(words[:2]) if words[0] == "located" else words[0]
+    numbers = words[1 + name.count(":") :]
+    kind, place, columns = of.get(name, ("PART_OF", 0, []))
+    if len(columns) != len(numbers) or not columns or not all(re.fullmatch(r"0|-?[1-9][0-9]{0,18}", x) for x in numbers):
+        return edges(spark, sf_dir, "PART_OF").where(F.lit(False))
+    ends = ENDS[kind][place]
+    keep = lambda e: reduce(lambda a, b: a & b, [F.col(c) == F.lit(int(x)) for c, x in zip(columns, numbers, strict=True)]) if e == ends else F.lit(False)
+    return edges(spark, sf_dir, kind, where=keep)
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change log of user nodes: signup puts, error deletes, anything else patches one property."""
     e = table(spark, sf_dir, "events")

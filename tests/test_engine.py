@@ -19,6 +19,10 @@ def test_a_graph_lives_through_its_calls(spark, tmp_path):
     assert ids(e.neighbors("bob", Direction.BOTH)) == ["alice", "corp"]
     patch = spark.createDataFrame([("alice",), ("zed",)], "id string").withColumn("props", variants({"age": F.lit(31), "ok": F.lit(True)}))
     assert ids(e.update_nodes(patch)) == ["zed"]
+    stale = spark.createDataFrame([("alice", 1), ("bob", 2)], "id string, expected_version long").withColumn("props", variants({"x": F.lit(1.5)}))
+    assert ids(e.update_nodes(stale)) == ["alice"] and e.get_node("bob").first().version == 3
+    nameless = spark.createDataFrame([(None, ["X"]), ("", ["X"])], "id string, labels array<string>").withColumn("props", variants({}))
+    assert e.create_nodes(nameless).count() == 2 and e.nodes().where("id is null or id = ''").count() == 0
     for _ in range(2):
         a = e.get_node("alice").select("version", "labels", get_property(F.col("props"), "age", "bigint").alias("age")).first()
         assert tuple(a) == (4, ["Person"], 31)
@@ -32,4 +36,5 @@ def test_a_graph_lives_through_its_calls(spark, tmp_path):
     assert ids(again.nodes()) == ["alice", "bob"] and ids(again.edges()) == ["e1"] and again.verify() == []
     again.create_nodes(nodes.where("id = 'corp'"))
     assert again.get_node("corp").first().version == 1
+    assert {r.kind for r in again.counters().where("counter = 'flushes' and n > 0").collect()} == {"node", "edge"}
     assert {r.kind: r.n for r in again.stats().groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {"node": 3, "edge": 1}

@@ -9,6 +9,7 @@ from graphloom.functions import values as V
 from graphloom.operators import changelog, graph, metrics, storage
 from graphloom.operators.asof import last_before
 from graphloom.operators.graph import Direction
+from graphloom.operators.store import Store
 from graphloom.plans import workload
 from graphloom.sources.tables import variants
 
@@ -154,7 +155,7 @@ def test_store_survives_compaction_repeats_and_reopening(spark, tmp_path):
     rng = random.Random(5)
     rows = [(f"n{rng.randint(0, 9)}", s, rng.choice(["PUT", "PATCH", "DELETE"]), {"v": float(s)}) for s in range(90)]
     rows = [(i, s, op, {} if op == "DELETE" else p) for i, s, op, p in rows]
-    store = storage.Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"))
     assert plain(store.state()) == {}
     for k in range(3):
         assert store.append(log(spark, rows[30 * k : 30 * k + 30]), k)
@@ -164,8 +165,108 @@ def test_store_survives_compaction_repeats_and_reopening(spark, tmp_path):
         if k == 1:
             store.compact()
             assert plain(store.state()) == want
-    assert plain(storage.Store(spark, str(tmp_path / "store")).state()) == replay(rows)[0]
-    assert store.verify() == [] and store.manifest()["version"] == 4 and store.checkpoint()
+    assert plain(Store(spark, str(tmp_path / "store")).state()) == replay(rows)[0]
+    assert store.verify() == [] and store.manifest()["version"] == 5 and store.checkpoint()
+
+
+def test_late_rows_and_tables_resolve_by_seq(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append(log(spark, [("a", 10, "PUT", {"v": 1.0})]))
+    store.compact()
+    store.append(log(spark, [("b", 5, "PUT", {"v": 2.0}), ("a", 3, "PUT", {"v": 9.0}), ("a", 11, "PATCH", {"w": 3.0})]))
+    want = {"a": [{"v": 1.0, "w": 3.0}, 3, 11], "b": [{"v": 2.0}, 2, 5]}
+    for step in (lambda: None, store.flush, store.compact):
+        step()
+        assert plain(store.state()) == want
+        assert plain(store.get(["b", "zz"])) == {"b": want["b"]} and plain(store.get(["a"])) == {"a": want["a"]}
+
+
+def test_two_writers_and_an_append_during_compaction(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "store")
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(lambda i: Store(spark, path).append(log(spark, [(f"n{i}", i, "PUT", {"v": float(i)})])), range(8)))
+    store, other = Store(spark, path), Store(spark, path)
+    assert ids(store.state()) == [f"n{i}" for i in range(8)] and store.manifest()["version"] == 8
+    reader = store.state()
+    table = store._table
+
+    def slow(rows, level):
+        found = table(rows, level)
+        other.append(log(spark, [(f"late{level}", 100, "PUT", {"v": 0.0})]))
+        return found
+
+    monkeypatch.setattr(store, "_table", slow)
+    assert store.compact()
+    assert ids(other.state()) == ["late0", "late1", *(f"n{i}" for i in range(8))]
+    assert ids(reader) == [f"n{i}" for i in range(8)]  # its files are still there
+    monkeypatch.undo()
+    store.compact()
+    kept = {p.name for p in (tmp_path / "store" / "tables").iterdir()}
+    assert len(kept) > 1 and store.clean(-1) and len(list((tmp_path / "store" / "tables").iterdir())) == 1
+    assert ids(Store(spark, path).state()) == ["late0", "late1", *(f"n{i}" for i in range(8))]
+
+
+def test_tiered_compaction_keeps_tombstones_and_counts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert not store.compact("size")
+    rows = []
+    for k in range(7):
+        new = [(f"n{i}", 10 * k + i, "DELETE" if (i + k) % 4 == 0 else "PUT", {} if (i + k) % 4 == 0 else {"v": float(k)}) for i in range(k, k + 4)]
+        rows += new
+        store.append(log(spark, new), k)
+        merged = store.compact("size" if k < 6 else "level")
+        assert merged == (k in (4, 6)) or k > 4
+        assert plain(store.state()) == replay(rows)[0]
+    n = {r.counter: r.n for r in store.counters().collect()}
+    assert n["flushes"] == 7 and n["compactions"] >= 1 and n["tables_in"] >= 2 and n["bytes_out"] > 0
+    assert {r.level for r in store.manifest_table().collect()} >= {1}
+    assert store.compact() and plain(store.state()) == replay(rows)[0] and store.manifest_table().count() == 1
+    assert store.tables().where("op = 'DELETE'").count() == 0
+
+
+def test_damaged_log_rows_are_an_error(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append(log(spark, [("a", 1, "PUT", {"v": 1.0})]))
+    folder = str(tmp_path / "store" / store.manifest()["segments"][0]["path"])
+    rows = spark.read.parquet(folder).withColumn("seq", F.lit(2).cast("long"))
+    rows.coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="checksum mismatch of id a"):
+        store.state().collect()
+
+
+def test_point_reads_skip_tables_and_row_groups(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for k in range(3):
+        store.append(log(spark, [(f"{c}{i}", 100 * k + i, "PUT", {"v": 1.0}) for i, c in enumerate("abcdef"[2 * k : 2 * k + 2])]))
+        store.flush()
+    found = store.get(["c0"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ids(found) == ["c0"] and plan.count("FileScan") == 1 and "EqualTo(id,c0)" in plan
+
+
+def test_level0_picks_need_four_tables(spark):
+    for n in (0, 3, 4, 5):
+        m = spark.createDataFrame([(f"t{i}", 0 if i < n else 1, 10, 1, "a", "b") for i in range(7)], storage.MANIFEST)
+        assert storage.pick_level0(m).count() == (4 if n >= 4 else 0)
+    assert storage.next_level([0, 2, 1]) == 3 and storage.next_level([]) == 1
+
+
+def test_least_recently_used_keys_go(spark):
+    from collections import OrderedDict
+
+    rng, cache, rows = random.Random(3), OrderedDict(), []
+    for i in range(300):
+        k = f"k{rng.randint(0, 20)}"
+        rows.append((k, i))
+        cache.pop(k, None)
+        cache[k] = True
+        if len(cache) > 8:
+            cache.popitem(last=False)
+    got = {r.key for r in metrics.lru_cache(spark.createDataFrame(rows, "key string, at long"), 8).where("cached").collect()}
+    assert got == set(cache)
+    assert [spark.range(1).select(V.aligned(F.lit(n))).first()[0] for n in (0, 1, 512, 513)] == [0, 512, 512, 1024]
 
 
 def test_percentiles_by_nearest_rank(spark):
@@ -221,3 +322,24 @@ def test_plans_push_filters_and_join_by_key(spark):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, d)) and "NestedLoop" not in plan(QUERIES[name](spark, d))
     out = plan(QUERIES["scan_edges"](spark, d))
     assert "l_comment" not in out and "o_totalprice" not in out.split("Physical Plan")[1]
+    found = {"get_node": "EqualTo(c_custkey,7)", "get_edge": "EqualTo(o_orderkey,5)", "range_scan": "PushedFilters: [Or(", "out_edges": "EqualTo(o_custkey,7)", "in_edges": "EqualTo(l_partkey,5)"}
+    for name, want in found.items():
+        text = QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        pushed = [line for line in text.splitlines() if "PushedFilters" in line]
+        assert any(want in line for line in pushed), name
+
+
+def test_reads_by_key_equal_reads_of_all(spark):
+    from graphloom.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    n, e = tables.nodes(spark, d).select("id").cache(), tables.edges(spark, d).select("id", "src", "dst").cache()
+    for i in ("customer:7", "part:5", "nation:0", "customer:07", "customer:", "x:1", "order:999999999", "order"):
+        assert ids(tables.node(spark, d, i)) == ids(n.where(n.id == i))
+    for a, b in (("order:2", "order:3"), ("customer:12", "order:2"), ("a", "z"), ("part:1", "part:1"), ("nation", "nation:3"), ("part:5", "part:50"), ("supplier:9", "tt")):
+        assert ids(tables.node_range(spark, d, a, b)) == ids(graph.in_range(n, a, b))
+    for i in ("customer:7", "nation:3", "region:1", "order:1", "part:5", "supplier:2", "zz"):
+        for end in ("src", "dst"):
+            assert ids(tables.edges_at(spark, d, i, end)) == ids(e.where(F.col(end) == i)), (i, end)
+    for i in ("placed:5", "located:customer:3", "located:supplier:1", "partof:2", "contains:1:1", "located:x", e.where("id like 'supp%'").first().id):
+        assert ids(tables.edge(spark, d, i)) == ids(e.where(e.id == i)), i
