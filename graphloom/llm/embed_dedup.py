@@ -6,15 +6,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import load, local_roots, materialize
 from graphloom.llm.components import connected_components
 
-HASH_BITS, LEAST_CHUNK = 63, 128
+HASH_BITS, LEAST_CHUNK, TILE = 63, 128, 1 << 21
 #: The share of pairs at the threshold that the passes of a label are to meet, and the most passes of one.
 AIM, MOST_PASSES = 0.99, 256
+#: By how many bits more than even shares need a pair must agree; see passes_for.
+CROWDED = 2.0
 
 
 @lru_cache(maxsize=512)
@@ -59,7 +62,8 @@ def passes_for(n: int, centre: np.ndarray, threshold: float, window: int, least:
     """How many passes meet AIM of the pairs at the threshold among n unit vectors of mean `centre`."""
     rest = max(1 - float(centre @ centre), 1e-12)
     near = 1 - np.arccos(max(-1.0, 1 - (1 - threshold) / rest)) / np.pi
-    one = near ** max(0.0, np.log2(max(n, 1) / window))
+    # A group of equal prefixes is no even share of the rows: the pair must be met in one some times larger.
+    one = near ** max(0.0, np.log2(max(n, 1) / window) + CROWDED)
     return least if one >= AIM else int(min(max(least, np.ceil(np.log(1 - AIM) / np.log1p(-one))), max(least, MOST_PASSES)))
 
 
@@ -96,17 +100,46 @@ def _signatures(seed: int):
     return run
 
 
-def _window_links(threshold: float, window: int):
-    """Rows sorted by (label, dim, pass, sig): links between rows at most `window` places apart, as spanning stars."""
+#: Kinds of components.
+NUMPY = {"float": np.float32, "double": np.float64, "int": np.int32, "bigint": np.int64, "smallint": np.int16, "tinyint": np.int8}
+#: What the window task gives: a link, or a row at a border.
+BORDER = ["a", "b", "border", "side", "label", "pass", "sig", "rep", "v"]
+
+
+def _window_links(threshold: float, window: int, kind: pa.DataType):
+    """Rows (label, pass, sig, rep, v) sorted by (label, dim, pass, sig) in ranges, one a task: links between rows at
+    most `window` places apart, as spanning stars (a, b), and the range's first and last `window` rows, each with the
+    border at which they meet those of the next range: (border, side, label, pass, sig, rep, v)."""
+    none = pa.array([], pa.int64())
+
+    def bordering(rows, border, side):
+        n = rows.num_rows
+        same = lambda x, t: pa.array(np.full(n, x), t)
+        cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), same(border, pa.int32()), same(side, pa.int32()), *rows.columns]
+        return pa.Table.from_arrays(cols, names=BORDER).combine_chunks().to_batches()
 
     def run(batches):
-        tail = None
+        number, head, tail = TaskContext.get().partitionId(), None, None
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 piece = pa.Table.from_batches([batch.slice(start, 4096)])
+                if head is None or head.num_rows < window:
+                    head = piece.slice(0, window) if head is None else pa.concat_tables([head, piece]).slice(0, window)
                 rows = piece if tail is None else pa.concat_tables([tail, piece])
                 tail = rows.slice(max(0, rows.num_rows - window))
-                yield from links(rows.combine_chunks())
+                for a, b in links(rows.combine_chunks()):
+                    n = len(a)
+                    nulls = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, kind)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *nulls], names=BORDER)
+        if tail is not None:
+            if number:
+                yield from bordering(head, number - 1, 1)
+            yield from bordering(tail, number, 0)
+
+    def met(key, table):
+        """The rows at one border, the end of a range and the start of the next: their links."""
+        pairs = list(links(table.sort_by([("side", "ascending"), ("label", "ascending"), ("pass", "ascending"), ("sig", "ascending"), ("rep", "ascending")]).combine_chunks()))
+        return pa.table({c: pa.array(np.concatenate([p[i] for p in pairs])) if pairs else none for i, c in enumerate(("a", "b"))})
 
     def links(rows):
         v = rows["v"].combine_chunks()
@@ -125,9 +158,9 @@ def _window_links(threshold: float, window: int):
             return
         root = local_roots(len(rep), at, np.concatenate(b))
         own = np.flatnonzero(root != np.arange(len(rep)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[root[own]]), pa.array(rep[own])], names=["a", "b"])
+        yield rep[root[own]], rep[own]
 
-    return run
+    return run, met
 
 
 def _cell_links(threshold: float):
@@ -140,12 +173,16 @@ def _cell_links(threshold: float):
         v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
         x = _unit(v)
         i, j = np.flatnonzero(chunk == own), np.flatnonzero(chunk == other)
-        near = x[i] @ x[j].T >= threshold
-        if own == other:
-            np.fill_diagonal(near, False)
-            found = [(rep[i], near @ n[j])]
-        else:
-            found = [(rep[i], near @ n[j]), (rep[j], near.T @ n[i])]
+        to_i, to_j, y, step = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64), x[j], max(1, TILE // max(1, len(j)))
+        for at in range(0, len(i), step):  # in tiles, so that no matrix of the whole cell is held
+            part = i[at : at + step]
+            near = x[part] @ y.T >= threshold
+            if own == other:
+                near[np.arange(len(part)), np.arange(at, at + len(part))] = False
+            else:
+                to_j += near.T @ n[part]
+            to_i[at : at + step] = near @ n[j]
+        found = [(rep[i], to_i)] if own == other else [(rep[i], to_i), (rep[j], to_j)]
         return pa.table({"rep": np.concatenate([x for x, _ in found]), "links": np.concatenate([x for _, x in found]).astype(np.int64)})
 
     return run
@@ -160,7 +197,7 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.98, passes: int = 1
 
     Equal vectors of a label are first taken together and stand as one. Each pass orders the rest by 63 concatenated
     random-hyperplane bits of the unit vectors less their label's mean, so that a direction they share hides nothing,
-    and compares every vector with the next `window` ones of its range; verified pairs of all passes are united. A pair
+    and compares every vector with the next `window` ones, over the border to the next range too; verified pairs of all passes are united. A pair
     at the threshold keeps one bit with a probability that falls as the label gets denser (0.936 at cosine 0.98 around
     the origin), and so does the recall of one pass with the logarithm of the rows. From both, each label has as many
     passes as meet 0.99 of such pairs, `passes` at least and MOST_PASSES at most, beyond which recall falls. Inside the components so found, all pairs are then compared in
@@ -181,7 +218,11 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.98, passes: int = 1
     centred = reps.select(F.col("node").alias("rep"), "label", "v", F.size("v").alias("dim")).join(materialize(centres, "centres"), ["label", "dim"])
     signed = centred.select("rep", "label", "v", "centre", "passes").mapInArrow(_signatures(seed), shape)
     dealt = signed.repartitionByRange("label", F.size("v"), "pass", "sig", "rep").sortWithinPartitions("label", F.size("v"), "pass", "sig", "rep")
-    roots = connected_components(dealt.mapInArrow(_window_links(threshold, window), "a long, b long"))
+    windows, met = _window_links(threshold, window, pa.list_(pa.from_numpy_dtype(NUMPY[kind])))
+    shape = f"a long, b long, border int, side int, label long, pass int, sig long, rep long, v array<{kind}>"
+    found = materialize(dealt.mapInArrow(windows, shape), "windows")
+    edges = found.where("border is not null").select("border", "side", "label", "pass", "sig", "rep", "v").groupBy("border").applyInArrow(met, "a long, b long")
+    roots = connected_components(found.where("border is null").select("a", "b").union(edges))
     member = materialize(reps.join(roots.withColumnRenamed("root", "group"), "node"), "members")
     # Chunks grow with the square root of the group, so that neither a chunk nor the number of cells gets large.
     chunk = F.greatest(F.lit(float(LEAST_CHUNK)), 4 * F.sqrt(F.count("*")))

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from graphloom.llm.embed_dedup import near_duplicates
 
@@ -52,15 +54,37 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
-def test_labels_of_one_direction_keep_their_links(spark):
+def recall(spark, n, dim, pairs, mean, cosine, **kw):
+    """The share of planted pairs of that cosine found among n vectors of that mean cosine."""
     rng = np.random.default_rng(5)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
-    n, dim, pairs = 6000, 64, 300
     centre = unit(rng.standard_normal(dim))
-    x = unit(np.sqrt(0.9) * centre + np.sqrt(0.1) * unit(rng.standard_normal((n, dim))))
-    across = rng.standard_normal((pairs, dim))
-    across = unit(across - (across * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
-    x = np.concatenate([x, 0.981 * x[:pairs] + np.sqrt(1 - 0.981**2) * across]).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    root = {r.vec_id: r.component_id for r in near_duplicates(df, window=8).collect()}
-    assert sum(root[i] == root[n + i] for i in range(pairs)) >= 0.95 * pairs
+    x = unit(np.sqrt(mean) * centre + np.sqrt(1 - mean) * unit(rng.standard_normal((n, dim))))
+    # A neighbour lies in the same cloud: its step leaves the share of the centre as it is.
+    own = unit(x[:pairs] - (x[:pairs] @ centre)[:, None] * centre)
+    step = rng.standard_normal((pairs, dim))
+    step -= (step @ centre)[:, None] * centre
+    step = unit(step - (step * own).sum(axis=1, keepdims=True) * own)
+    height = x[:pairs] @ centre
+    inner = (cosine - height**2) / (1 - height**2)
+    new = height[:, None] * centre + np.sqrt(1 - height**2)[:, None] * (inner[:, None] * own + np.sqrt(1 - inner**2)[:, None] * step)
+    x = np.concatenate([x, new]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 0}), "vec_id long, embedding array<float>, label int")
+    root = {r.vec_id: r.component_id for r in near_duplicates(df, **kw).collect()}
+    return sum(root[i] == root[n + i] for i in range(pairs)) / pairs
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.9, 0.95])
+def test_recall_in_labels_of_one_direction(spark, mean):
+    assert recall(spark, 20_000, 64, 500, mean, 0.982) >= 0.9
+
+
+def test_neighbours_over_the_border_of_a_range_meet(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        # One pass and ranges of about a hundred rows: most pairs would be cut apart at some border or other.
+        assert recall(spark, 2000, 8, 400, 0.0, 0.99999, window=50, passes=1) >= 0.9
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
