@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import fold, load, materialize, ship
 
-BEGIN, CHUNK, HELD = 2, 1 << 20, 1 << 20
+BEGIN, CHUNK, HELD, MOST_LANGS = 2, 1 << 20, 1 << 20, 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,10 +56,17 @@ def _reduced(keys, counts, grams):
     return keys[first], np.add.reduceat(counts[by], first) if len(first) else counts[:0], grams(by[first])
 
 
-def _slices(rows: list[tuple]):
-    """Lists of (text, ...) of bounded size together; a text longer than the bound stands alone."""
+def _cut(text: str, order: int):
+    """(part, characters before it) of a text: parts of bounded length, each led by its left context."""
+    for start in range(0, max(len(text), 1), CHUNK):
+        before = min(start, order - 1)
+        yield text[start - before : start + CHUNK], before
+
+
+def _slices(rows: list[tuple], order: int):
+    """Lists of (text, other, characters before it) of bounded size together; longer texts are cut."""
     part, size = [], 0
-    for r in rows:
+    for r in ((t, other, before) for text, other in rows for t, before in _cut(text, order)):
         part.append(r)
         size += len(r[0])
         if size >= CHUNK:
@@ -95,9 +102,12 @@ def _gathered(order: int, ids=None):
             for lang, trusted, text in zip(batch.column(0).to_pylist(), flags(batch.column(1)), batch.column(2), strict=True):
                 by.setdefault(lang, []).append((text.as_py(), trusted))
             for lang, rows in by.items():
-                for part in _slices(rows):
-                    x, at, keys = _windows([t for t, _ in part], order, lang)
-                    own = np.repeat([bool(t) for _, t in part], [len(t) for t, _ in part]).astype(np.int64)
+                for part in _slices(rows, order):
+                    x, at, keys = _windows([t for t, *_ in part], order, lang)
+                    own = np.repeat([bool(y) for _, y, _ in part], [len(t) for t, *_ in part]).astype(np.int64)
+                    if any(before for *_, before in part):  # context is counted where it stands
+                        new = np.concatenate([np.arange(len(t)) >= before for t, _, before in part])
+                        at, keys, own = at[new], keys[new], own[new]
                     new = _reduced(keys, own, lambda i, x=x, at=at: _strings(x, at[i], order))
                     if lang in held:
                         both = [np.concatenate(y) for y in zip(held[lang], new, strict=True)]
@@ -126,7 +136,7 @@ def model(docs: DataFrame, order: int = 5, ids=None) -> DataFrame:
     for n in range(order - 1, 0, -1):
         shorter = by_order[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c"))
         by_order[n] = materialize(shorter, f"grams{n}")
-    logp = None
+    logp, small = None, _small(by_order[1])
     for n in range(1, order + 1):
         rows, seen = by_order[n], by_order[n].where("c > 0")
         of = seen.groupBy("lang").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("v"))
@@ -134,8 +144,7 @@ def model(docs: DataFrame, order: int = 5, ids=None) -> DataFrame:
         # Where counts of counts are missing, as in tiny texts, a discount is held between none and its count.
         hold = lambda e, most: F.least(F.greatest(e, F.lit(0.1)), F.lit(most))
         rate = lambda i: F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))
-        # One row a language: safe to broadcast.
-        discounts = F.broadcast(of.select("lang", "v", hold(rate(1), 0.95).alias("d1"), hold(rate(2), 1.9).alias("d2"), hold(rate(3), 2.85).alias("d3")))
+        discounts = small(of.select("lang", "v", hold(rate(1), 0.95).alias("d1"), hold(rate(2), 1.9).alias("d2"), hold(rate(3), 2.85).alias("d3")))
         context = F.substring("g", 1, n - 1) if n > 1 else F.lit("")
         d = F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end")
         stats = seen.join(discounts, "lang").groupBy("lang", context.alias("h")).agg(F.sum("c").alias("total"), F.sum(d).alias("lost"))
@@ -151,6 +160,11 @@ def model(docs: DataFrame, order: int = 5, ids=None) -> DataFrame:
     return materialize(logp.select("lang", "g", F.log("p").alias("logp")), "logp")
 
 
+def _small(rows: DataFrame):
+    """How to join tables of one row a language: broadcast, if rows hold no more than MOST_LANGS of them."""
+    return F.broadcast if rows.select("lang").distinct().count() <= MOST_LANGS else (lambda df: df)
+
+
 def _keyed(order: int):
     def run(batches):
         for batch in batches:
@@ -181,8 +195,8 @@ def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5,
 
         def grams(batches):
             for batch in batches:
-                for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                    x, at, keys = _windows([text.as_py()], order, lang)
+                for i, lang, piece, before in ((i, lang, *p) for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)) for p in _cut(text.as_py(), order)):
+                    x, at, keys = (v if k == 0 else v[before:] for k, v in enumerate(_windows([piece], order, lang)))
                     _, n, g = _reduced(keys, np.ones(len(keys), np.int64), lambda j, x=x, at=at: _strings(x, at[j], order))
                     rows = np.full(len(g) + 1, i)
                     yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in [batch.column(0), *batch.columns[2:]]), pa.array([*g.tolist(), None], pa.string()), pa.array([*n.tolist(), 0], pa.int64())], names=["lang", *columns, "row", "g", "k"])
@@ -204,9 +218,8 @@ def score(docs: DataFrame, logp: DataFrame, columns: list[str], order: int = 5,
             n, nll = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums, total, t = 0.0, 0, text.as_py()
-                for start in range(0, len(t), CHUNK):  # a very long text in parts, each with its left context
-                    before = min(start, order - 1)
-                    _, _, own = _windows([t[start - before : start + CHUNK]], order, lang)
+                for piece, before in _cut(t, order):
+                    _, _, own = _windows([piece], order, lang)
                     own = np.sort(own[before:])
                     sums -= float(values[np.searchsorted(keys, own)].sum(dtype=np.float64)) if len(own) else 0.0
                     total += len(own)
@@ -246,8 +259,8 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: i
     scores = score(tidy, logp, [*columns, "_doc_"], order)
     found = materialize(scores.join(trusted, F.col("_doc_") == F.col("_id_"), "left").drop("_id_", "_doc_"), "scores")
     means = found.where("part = 'out'").groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
-    # One row a language: safe to broadcast.
-    with_mean = found.join(F.broadcast(means), "lang", "left")
+    small = _small(found)
+    with_mean = found.join(small(means), "lang", "left")
     x = with_mean.withColumn("x", F.coalesce((F.col("nll") + weight * F.col("mean")) / (F.col("n") + weight), F.col("nll") / F.greatest("n", F.lit(1))))
     z = NormalDist().inv_cdf(1 - tail)
     n, spread = F.count("x"), F.stddev_samp("x")
@@ -256,7 +269,7 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], *, order: i
     factor = F.when(a > 0, (z + F.sqrt(z * z - a * b)) / a)
     own = lambda p, sign: F.when(n * tail >= 1, F.percentile_approx("x", p, 10_000) + sign * errors * spread * F.sqrt((1 + z * z / 2) / n)).otherwise(F.avg("x") + sign * factor * spread)
     q = lambda rows, p, sign, to: rows.groupBy("lang").agg(own(p, sign).alias(to))
-    done = x.join(F.broadcast(q(x.where("part is not null"), tail, -1, "low")), "lang", "left").join(F.broadcast(q(x.where("part = 'out'"), 1 - tail, 1, "high")), "lang", "left")
+    done = x.join(small(q(x.where("part is not null"), tail, -1, "low")), "lang", "left").join(small(q(x.where("part = 'out'"), 1 - tail, 1, "high")), "lang", "left")
     done = done.withColumn("perplexity", F.exp("x")).withColumn("low", F.exp("low")).withColumn("high", F.exp("high"))
     inside = F.coalesce(F.col("perplexity") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True))
     return done.select(*columns, "perplexity", "low", "high", inside.alias("kept"))

@@ -72,13 +72,13 @@ def _phase(k: int, m: int, final: bool):
                 q_ids, c_ids = (get(c).values.to_numpy() for c in ("q_ids", "c_ids"))
                 q, c = _matrix(get("q_v"), dim, len(q_ids)), _matrix(get("c_v"), dim, len(c_ids))
                 parts = [(s, _dot(q[:, s], c[:, s])) for s in _segments(dim, m)]
-                cuts = get("cuts").values.to_numpy(zero_copy_only=False) if final else None
+                cuts = get("cuts").as_py() if final else None
                 for i, q_id in enumerate(q_ids):
-                    if final and np.isfinite(cuts[i]):
-                        # A total of at least the cutoff needs a part of at least cutoff / m.
+                    if final and cuts[i] is not None:
+                        # A total of at least the cutoff needs a part of at least cutoff / m, rounded up.
                         seen = np.zeros(len(c_ids), bool)
                         for _, p in parts:
-                            seen |= p[i] * len(parts) >= cuts[i]
+                            seen |= p[i] >= -(-cuts[i] // len(parts))
                         at = np.flatnonzero(seen & (c_ids != q_id))
                     elif final:
                         at = np.flatnonzero(c_ids != q_id)
@@ -90,7 +90,7 @@ def _phase(k: int, m: int, final: bool):
                         continue
                     total = sum((p[i][at].astype(object) for _, p in parts), np.zeros(len(at), object))
                     total = np.clip(total, -(2**63), 2**63 - 1).astype(np.int64)
-                    if final and np.isfinite(cuts[i]):
+                    if final and cuts[i] is not None:
                         at, total = at[total >= cuts[i]], total[total >= cuts[i]]
                     best = _best(total, c_ids[at], k)
                     out[0].append(np.full(len(best), q_id))
@@ -107,7 +107,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, parts: int = 2, query_
 
     rows and queries have (vec_id long, embedding array<long>). A query's own vec_id is no candidate; rows without an
     id take no part; identical rows count once, and several vectors under one id are candidates of their own, of which
-    the best counts; vectors are compared within one length. Empty tables give no rows. Other columns are ignored.
+    the best counts; so it is with queries: several vectors under one query id are all asked, and a candidate's best score
+    counts. Vectors are compared within one length; products beyond a long are held to its range. Empty tables give no rows. Other columns are ignored.
 
     Queries and rows are dealt into blocks of bounded size and every pair of blocks is one cell of work. A vector's
     components are cut into `parts` ranges, each with a local list of partial scores. Phase 1 gathers each local
@@ -118,7 +119,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, parts: int = 2, query_
     ship(rows.sparkSession)
     tidy = lambda df: df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim")).distinct()
     c = _blocks(tidy(rows), block, "c")
-    q = _blocks(tidy(queries).dropDuplicates(["id"]), query_block, "q")
+    q = _blocks(tidy(queries), query_block, "q")
     n_c, n_q = c.select("dim", "c_n").distinct(), q.select("dim", "q_n").distinct()
     all_c = c.join(F.broadcast(n_q), "dim").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_n") - 1)))
     shape = "query_id long, vec_id long, score long"
@@ -130,9 +131,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, parts: int = 2, query_
 
     first = cells(q).mapInArrow(_phase(k, parts, False), shape)
     ranked = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_query.orderBy(*by_rank))).where(f"r <= {k}")
-    cut = ranked.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("cut"))
+    cut = ranked.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("cut"))
     flat = q.select("dim", "q", F.posexplode("q_ids").alias("at", "query_id")).join(cut, "query_id", "left")
-    cuts = flat.groupBy("dim", "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cut", F.lit(float("-inf"))).alias("cut")))), lambda x: x["cut"]).alias("cuts"))
+    cuts = flat.groupBy("dim", "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cut"))), lambda x: x["cut"]).alias("cuts"))
     last = cells(q.join(cuts, ["dim", "q"])).mapInArrow(_phase(k, parts, True), shape)
     best = last.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by_query.orderBy(*by_rank))).where(f"rank <= {k}")
     return best.select("query_id", "rank", "vec_id", "score")
@@ -150,8 +151,8 @@ with v as (
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  select q.vec_id as query_id, c.vec_id, cast(max(list_inner_product(q.e, c.e)) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2
 )
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import math
 import random
 from collections import Counter, defaultdict
@@ -114,3 +115,13 @@ def test_limits_follow_the_spread_of_the_language(spark):
     assert got[300].perplexity < got[0].high * math.exp(0.2)  # near enough for a fixed margin to keep it
     gone = {i for i, r in got.items() if not r.kept}
     assert 300 in gone and 301 not in gone and len(gone) <= 4
+
+
+def test_long_texts_are_cut_without_a_trace(spark, monkeypatch):
+    rows = [("en", True, "the cat sat on the mat and the dog ran " * 3), ("en", False, "a dog sat there"), ("", True, "")]
+    flat = lambda part: sorted((lang, g, n) for b in part for lang, g, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], names=["lang", "trusted", "text"])
+    whole = flat(quality._gathered(5)([batch]))
+    for size in (1, 7, 50):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        assert flat(quality._gathered(5)([batch])) == whole

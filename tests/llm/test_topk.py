@@ -10,14 +10,15 @@ SCHEMA = "vec_id long, embedding array<float>, label int, query_id string, rank
 def brute(rows, queries, k):
     q = lambda v: [math.floor(256 * float(np.float32(x))) for x in v]
     good = {(i, tuple(q(v))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = set()
+    out, of = set(), {}
     for qi, qv in good:
         if qi not in queries:
             continue
-        best = {}
+        best = of.setdefault(qi, {})
         for ci, cv in good:
             if ci != qi and len(cv) == len(qv):
                 best[ci] = max(best.get(ci, -(10**30)), sum(a * b for a, b in zip(qv, cv, strict=True)))
+    for qi, best in of.items():
         for r, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:k], 1):
             out.add((qi, r, i, -s))
     return out
@@ -40,6 +41,8 @@ def test_equals_brute_force_with_ties_and_copies(spark):
 
 def test_odd_rows(spark):
     rows = [(0, [0.5, 0.25]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, [0.1, 0.2]), (5, [0.1, 0.2]), (6, [1.0]), (7, []), (8, [])]
+    more = [(0, [-0.5, 3.0]), (0, [2.0, -0.25]), *rows]
+    assert run(spark, more, {0, 5}, k=3) == brute(more, {0, 5}, 3)
     got = run(spark, rows, {0, 6, 7}, k=5)
     assert got == brute(rows, {0, 6, 7}, 5)
     assert {x[0] for x in got} == {0, 7}
