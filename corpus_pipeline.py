@@ -42,7 +42,7 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the document of smallest doc_id stays; of rows repeated under it, one. Rows without an id stay."""
+    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the document of smallest doc_id stays; of rows repeated under it the least by its other columns. Rows without an id stay."""
     columns = _plain(docs)
     found = shingles.similar(docs.select("doc_id", "text"), width=5, least=0.8)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
@@ -52,7 +52,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not repeated.limit(1).count():
         return kept
     once = kept.join(repeated, "doc_id", "left_anti").select(*columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns))
+    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("_row_"))
+    return once.unionByName(least.select("doc_id", "_row_.*").select(*columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
