@@ -137,7 +137,9 @@ def adjacency_lists(spark, d):
     return graph.adjacency(edges(spark, d))
 
 
-@query(f"with {E} select a.src as n0, a.dst as n1, b.dst as n2, a.id || ',' || b.id as path, 2 as length from e a join e b on a.dst = b.src where a.type = 'PLACED' and b.type = 'CONTAINS'")
+@query("""select 'customer:' || o_custkey as n0, 'order:' || o_orderkey as n1, 'part:' || l_partkey as n2,
+ 'placed:' || o_orderkey || ',contains:' || l_orderkey || ':' || l_partkey as path, 2 as length
+ from orders join (select distinct l_orderkey, l_partkey from lineitem) on o_orderkey = l_orderkey""")
 def two_hop_paths(spark, d):
     p = graph.two_hops(edges(spark, d, "PLACED", "CONTAINS"), "PLACED", "CONTAINS")
     return p.select(*[F.col("nodes")[i].alias(f"n{i}") for i in range(3)], F.array_join("edges", ",").alias("path"), "length")
@@ -361,7 +363,12 @@ def changelog_stats(spark, d):
     return changelog.stats(events_log(spark, d))
 
 
-@query()
+_CRC = """(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(t, ''), lambda c: ascii(c)::bigint)), lambda h, x:
+ list_reduce(list_prepend(xor(h, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda g, _: case when g % 2 = 1 then xor(g // 2, 3988292384) else g // 2 end)))"""
+
+
+@query(f"""with {LOG}, x as (select *, id || '|' || seq || '|' || op || '|' || case when op <> 'PATCH' then '{{}}' when value is null then '{{"' || event_type || '":null}}' else '{{"' || event_type || '":' || value || '}}' end as t from lg)
+select id, seq, op, xor({_CRC}, 4294967295) as checksum from x""")
 def log_checksum(spark, d):
     return changelog.with_checksum(events_log(spark, d)).select("id", "seq", "op", "checksum")
 

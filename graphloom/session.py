@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,8 +27,10 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; our own only where none is set, as in tests."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         found = spark.sparkContext.getCheckpointDir()
