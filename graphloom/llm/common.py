@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import ensure_checkpoints
+
 #: A word: a letter and the letters and combining marks after it.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -37,12 +39,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where all runs in one process (tests)."""
+    return ensure_checkpoints(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
