@@ -12,8 +12,8 @@ from graphloom.llm.common import materialize, ship
 from graphloom.llm.components import connected_components
 from graphloom.llm.simhash import SEED, _ones, _word_lists, near_links
 
-#: Rows of a bucket that are compared with each one before them; larger parts of a bucket than PART are compared apart.
-WINDOW, PART, MOST_IDS = 32, 1024, 8_000_000
+#: Shingle ids in a part of a bucket, expected; up to MOST_IDS documents' ids are broadcast.
+PART, MOST_IDS = 1 << 18, 8_000_000
 
 
 def hashes(data: bytes | None, width: int) -> np.ndarray:
@@ -43,20 +43,22 @@ def node_of(own: np.ndarray) -> int:
 
 
 def _signed(width: int, bands: int, rows: int):
-    """Rows (doc_id, text) to (doc_id, node, fp, bands): the number of the shingle set, its SimHash and its MinHash bands."""
+    """Rows (doc_id, text) to (doc_id, node, size, fp, bands): the number of the shingle set, its size, SimHash and MinHash bands."""
     factors = np.random.default_rng(11).integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            nodes, fps, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for x in batch.column(1):
                 every = hashes(x.as_buffer().to_pybytes() if x.is_valid else None, width)
                 own = np.unique(every)
                 nodes.append(node_of(own))
+                sizes.append(len(own))
                 fps.append(int(np.packbits(2 * _ones(every) > len(every), bitorder="little").view("<i8")[0]) if len(every) else 0)
                 low = minima(own, factors).reshape(bands, rows)
                 keys.append([int(np.uint64(xxhash.xxh3_64_intdigest(b.tobytes())).astype(np.int64)) for b in low])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "bands"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "size", "fp", "bands"])
 
     return run
 
@@ -86,20 +88,70 @@ def _verified(least: float):
     return run
 
 
-def _bucket_pairs(batches):
-    """Rows (band, key, part, node, root) in order: pairs of one bucket, at most WINDOW places apart, of differing roots."""
-    tail = None
-    for batch in batches:
-        new = [batch.column(i).to_numpy() for i in range(5)]
-        rows = new if tail is None else [np.concatenate(x) for x in zip(tail, new, strict=True)]
-        first, n = len(rows[0]) - len(new[0]), len(rows[0])
-        tail = [x[-WINDOW:] for x in rows]
-        for d in range(1, min(WINDOW, n - 1) + 1):
-            at = np.arange(max(first, d), n)
-            same = (rows[4][at] != rows[4][at - d]) & (rows[0][at] == rows[0][at - d]) & (rows[1][at] == rows[1][at - d]) & (rows[2][at] == rows[2][at - d])
-            a, b = rows[3][at[same]], rows[3][at[same] - d]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def block_links(node: np.ndarray, root: np.ndarray, part: np.ndarray, sets: list[np.ndarray], least: float, across: bool) -> list[tuple[int, int]]:
+    """Links between sets of differing roots that are alike enough, as many as join all the roots that such links join.
+
+    across: only sets of differing parts are compared. Of two differing roots one at least is not the most frequent
+    one, so only the sets of the other roots are held against all; sets too small or too large to be alike are left
+    out, which loses none.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    node, root, part = node[order], root[order].copy(), part[order]
+    sizes = np.array([len(sets[i]) for i in order])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids, local = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    names, counts = np.unique(root, return_counts=True)
+    marked, found = np.zeros(len(ids), bool), []
+    for a in np.flatnonzero(root != names[counts.argmax()]):
+        low, high = np.searchsorted(sizes, least * sizes[a] - 1e-6), np.searchsorted(sizes, sizes[a] / least + 1e-6, "right")
+        other = root[low:high] != root[a]
+        if across:
+            other &= part[low:high] != part[a]
+        if not other.any():
+            continue
+        own = local[starts[a] : starts[a + 1]]
+        marked[own] = True
+        both = np.add.reduceat(marked[local[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+        marked[own] = False
+        for b in low + np.flatnonzero(other & (both >= least * (sizes[low:high] + sizes[a] - both))):
+            if root[b] != root[a]:
+                found.append((int(node[a]), int(node[b])))
+                root[root == root[b]] = root[a]
+    return found
+
+
+def _blocks(least: float):
+    """Rows (band, key, i, j, node, root, part, own) in the order of the first four: the links of each block."""
+
+    def links(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        table = pa.Table.from_batches(rows)
+        node, root, part = (table.column(c).to_numpy() for c in ("node", "root", "part"))
+        sets = [x.values.to_numpy() for x in table.column("own")]
+        return block_links(node, root, part, sets, least, rows[0].column("i")[0] != rows[0].column("j")[0])
+
+    def run(batches):
+        last, rows = None, []
+        for batch in batches:
+            keys, found = [batch.column(i).to_numpy() for i in range(4)], []
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if at == end:
+                    continue
+                name = tuple(int(k[at]) for k in keys)
+                if rows and name != last:
+                    found += links(rows)
+                    rows = []
+                last = name
+                rows.append(batch.slice(at, end - at))
+            yield _pairs(found)
+        if rows:
+            yield _pairs(links(rows))
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def similar(docs: DataFrame, *, width: int = 5, least: float = 0.8, distance: int = 4, bands: int = 24, rows: int = 6) -> DataFrame:
@@ -111,21 +163,21 @@ def similar(docs: DataFrame, *, width: int = 5, least: float = 0.8, distance: in
     bands of `rows` MinHash values: at 0.8 a pair has one with probability 0.999, while its SimHashes differ in about
     ten of 64 bits, beyond any exact search. Every candidate is verified by its whole sets.
 
-    A bucket's sets are first compared with its smallest one, then, where that leaves them unlinked, each with the
-    WINDOW ones before it in the order of the next bands: all pairs of a bucket up to WINDOW + 1 sets, in a larger one
-    those most alike, in every band anew. A null doc_id belongs to its set's component, or to none.
+    A bucket's sets are first compared with its smallest one. Where that leaves sets of several components, each set
+    outside the largest of these is compared with all others of the bucket, in blocks of two parts of about PART shingle
+    ids: no candidate is left out at any size of a bucket, and no pairs but links leave a block. The cost of a bucket
+    grows with its ids times those outside its largest component. A null doc_id belongs to its set's component, or to none.
     """
     spark = docs.sparkSession
     ship(spark)
     tidy = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(tidy.mapInArrow(_signed(width, bands, rows), "doc_id long, node long, fp long, bands array<long>"), "signed")
-    reps = signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    signed = materialize(tidy.mapInArrow(_signed(width, bands, rows), "doc_id long, node long, size long, fp long, bands array<long>"), "signed")
+    reps = signed.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("size", "fp", "bands")])
     reps = materialize(reps.where("doc is not null"), "sets")
 
-    keyed = reps.select("node", "bands", F.posexplode("bands").alias("band", "key"))
-    places = keyed.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    order = F.expr(f"array(element_at(bands, (band + 1) % {bands} + 1), element_at(bands, (band + 2) % {bands} + 1))")
-    shared = materialize(keyed.withColumn("order", order).drop("bands").join(places, ["band", "key"]), "buckets")
+    keyed = reps.where("size > 0").select("node", "size", F.posexplode("bands").alias("band", "key"))
+    places = keyed.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.bit_xor("node").alias("mark")).where("n > 1")
+    shared = materialize(keyed.join(places, ["band", "key"]), "buckets")
     # Sets of one fingerprint meet at its smallest; near_links takes one row a fingerprint.
     prints = reps.groupBy("fp").agg(F.min("node").alias("doc"))
     of_print = reps.select("fp", "node").join(prints, "fp").select(F.col("doc").alias("a"), F.col("node").alias("b"))
@@ -143,14 +195,22 @@ def similar(docs: DataFrame, *, width: int = 5, least: float = 0.8, distance: in
 
     links = materialize(verified(stars), "alike")
     roots = connected_components(links)
-    at = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = at.groupBy("band", "key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("band", "key")
-    parts = F.pmod(F.element_at("order", 1), F.ceil(F.col("n") / PART)).alias("part")
-    left = at.join(open_, ["band", "key"]).select("band", "key", parts, "node", "root", "order")
-    dealt = left.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "order", "node").drop("order")
-    more = materialize(dealt.mapInArrow(_bucket_pairs, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    at = materialize(shared.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    by_root = at.groupBy("band", "key", "root").agg(F.sum("size").alias("ids"), *[F.first(c).alias(c) for c in ("centre", "n", "mark")])
+    by_bucket = by_root.groupBy("band", "key").agg(
+        F.max_by("root", "ids").alias("main"), F.max("ids").alias("most"), F.sum("ids").alias("ids"), F.count("*").alias("roots"), *[F.first(c).alias(c) for c in ("centre", "n", "mark")]
+    )
+    # Buckets of the same sets in several bands are one. Parts below `few` hold the sets outside the main component.
+    few, all_ = F.ceil((F.col("ids") - F.col("most")) / PART), F.ceil((F.col("ids") - F.col("most")) / PART) + F.ceil(F.col("most") / PART)
+    open_ = by_bucket.where("roots > 1").dropDuplicates(["mark", "centre", "n"]).select("band", "key", "main", few.alias("few"), all_.alias("all_"))
+    own_part = F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.col("all_") - F.col("few")))
+    dealt = at.select("band", "key", "node", "root").join(open_, ["band", "key"]).withColumn("part", own_part)
+    dealt = dealt.withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("part") < F.col("few"), F.col("all_") - 1).otherwise(F.col("few") - 1))))
+    dealt = dealt.select("band", "key", F.least("part", "with_").alias("i"), F.greatest("part", "with_").alias("j"), "node", "root", "part").join(sets, "node")
+    blocks = dealt.select("band", "key", "i", "j", "node", "root", "part", "own").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    more = materialize(blocks.mapInArrow(_blocks(least), "a long, b long").distinct(), "more")
     if more.limit(1).count():
-        roots = connected_components(links.union(verified(more)))
+        roots = connected_components(links.union(more))
     joined = reps.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     small = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
     found = materialize(joined.join(small, "root").select("node", "component_id"), "components")
