@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,6 +58,11 @@ def next_level(levels: list[int]) -> int:
     return max(levels, default=0) + 1
 
 
+def level_after(level) -> Column:
+    """The same as an aggregate over the levels of the tables that are merged."""
+    return F.coalesce(F.max(level), F.lit(0)) + 1
+
+
 def replace(manifest: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
     return manifest.join(removed.select("path"), "path", "left_anti").select(*manifest.columns).unionByName(added.select(*manifest.columns))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.values import hotspot_pick, sequential_pick, uniform, zipf_pick
 from graphloom.sources.tables import variants
 
+#: Labels and edge types of generated graphs.
 LABELS = ("Person", "Company", "Product", "Order", "Category")
 KINDS = ("KNOWS", "WORKS_AT", "BOUGHT", "LIKES", "REVIEWED", "RELATED_TO")
 
