@@ -13,7 +13,7 @@ from graphloom.llm.components import connected_components
 from graphloom.llm.simhash import SEED, _ones, _word_lists, near_links
 
 #: Shingle ids in a part of a bucket, expected; up to MOST_IDS documents' ids are broadcast.
-PART, MOST_IDS = 1 << 18, 8_000_000
+PART, MOST_IDS = 1 << 15, 8_000_000
 
 
 def hashes(data: bytes | None, width: int) -> np.ndarray:
