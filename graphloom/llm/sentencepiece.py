@@ -23,10 +23,22 @@ from graphloom.llm.common import cached, load, ship
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 PART_CHARS, KNOWN, PAIRS, LONG_UNIT = 1 << 22, 200_000, 250_000, 4096
+#: Bits of a piece's number in the walk of merge-rank models: the model's pieces, then all code points.
+BITS = 22
 #: Fixed values of the model format: kinds of pieces and the merge-rank model type.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE, BPE = 1, 2, 3, 4, 5, 6, 2
 
 
+def _shared(a: str, b: str) -> int:
+    """The length of the prefix that two texts share."""
+    same = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        same += 1
+    return same
+
+
 class Codec:
     """A model file's pieces, with encoding of many texts at a time and decoding."""
 
@@ -50,18 +62,24 @@ class Codec:
         self.spelled = [spell(p, kind) for p, kind in self.pieces]
         self.lowest = min(self.score.values(), default=0.0) - 10.0
         self.known: dict[str, bytes] = {}  # words to little-endian 32-bit ids
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}  # two pieces' numbers to whether they are compatible
+        self.empty = len(self.pieces) + 0x110000  # the number of no piece
+        self.coded: dict[int, bytes] = {i: i.to_bytes(4, "little") for i in self.ids.values()}
 
     def merged(self, text: str) -> list[str]:
         """The merge-rank encoding by its definition: the best-scored neighbouring pair joins, the leftmost of equals."""
         parts, score = list(text), self.score
         if len(parts) < 32:
-            while len(parts) > 1:
-                best = max(((score[j], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (j := a + b) in score), default=None)
-                if best is None:
-                    break
-                i = -best[1]
+            none = float("-inf")
+            ranks = [score.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            while ranks and (best := max(ranks)) > none:
+                i = ranks.index(best)
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = score.get(parts[i - 1] + parts[i], none)
+                if i < len(ranks):
+                    ranks[i] = score.get(parts[i] + parts[i + 1], none)
             return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue = [(-score[a + b], i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score]
@@ -79,11 +97,18 @@ class Codec:
                     heapq.heappush(queue, (-score[new], a, new))
         return [p for p in parts if p]
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether merging the joined text gives just a and b; with an empty a, whether it gives b alone."""
+    def _text(self, number: int) -> str:
+        """What a piece's number stands for: a piece of the model, or a character that is none."""
+        if number == self.empty:
+            return ""
+        return self.pieces[number][0] if number < len(self.pieces) else chr(number - len(self.pieces))
+
+    def compatible(self, pair: int) -> bool:
+        """Whether merging the joined text of two pieces gives just them; with an empty first one, the second alone."""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = out = self.merged(a + b) == ([a, b] if a else [b])
+        a, b = self._text(pair >> BITS), self._text(pair & (1 << BITS) - 1)
+        self.pairs[pair] = out = self.merged(a + b) == ([a, b] if a else [b])
         return out
 
     def _ids(self, parts: list[str]) -> list[int]:
@@ -103,35 +128,56 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Encodes distinct sorted words into `known`, keeping the forward states of the prefix shared with the one before."""
-        last: list[str] = [""]  # the last piece of each prefix, by its length
-        best: list[float] = [0.0]
-        held, ids, score, pairs, test = "", self.ids, self.score, self.pairs, self.compatible
+        if not self.merges:
+            return self._learn_scored(words)
+        last, codes = [self.empty], [b""]  # of each prefix, by its length: its last piece's number, and its ids
+        held, number, pairs, coded, other = "", self.ids.get, self.pairs, self.coded, len(self.pieces)
         for word in words:
-            if len(word) > LONG_UNIT and self.merges:  # no word: one long run, encoded alone
+            if len(word) > LONG_UNIT:  # no word: one long run, encoded alone
                 self.known[word] = np.array(self._ids(self.merged(word)), "<i4").tobytes()
                 continue
-            same, most = 0, min(len(held), len(word))
-            while same < most and held[same] == word[same]:
-                same += 1
+            same = _shared(held, word)
+            del last[same + 1 :], codes[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                # Just one piece is compatible, so the search may start from the short ones.
+                start, found = end - 1, number(word[end - 1])
+                if found is None:
+                    found = other + ord(word[start])
+                least = max(0, end - self.longest)
+                while True:
+                    if found is not None:
+                        pair = last[start] << BITS | found
+                        yes = pairs.get(pair)
+                        if self.compatible(pair) if yes is None else yes:
+                            break
+                    start -= 1
+                    if start < least:
+                        break
+                    found = number(word[start:end])
+                if start < least:
+                    break
+                code = coded.get(found)
+                if code is None:  # of a character that is no piece, not kept: there may be many
+                    code = np.array(self._ids([word[start:end]]), "<i4").tobytes()
+                last.append(found)
+                codes.append(codes[start] + code)
+            held = word[: len(last) - 1]
+            # No compatible piece, as tied scores of a model might leave: then by the definition.
+            self.known[word] = codes[-1] if len(held) == len(word) else np.array(self._ids(self.merged(word)), "<i4").tobytes()
+
+    def _learn_scored(self, words: list[str]) -> None:
+        """Viterbi: the best score and the last piece of each prefix."""
+        last, best, held, score = [""], [0.0], "", self.score
+        for word in words:
+            same = _shared(held, word)
             del last[same + 1 :], best[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 found, top = word[end - 1 : end], float("-inf")
-                if self.merges:
-                    # Just one piece is compatible, so the search may start from the short ones.
-                    for start in range(end - 1, max(-1, end - self.longest - 1), -1):
-                        piece = word[start:end]
-                        if piece in ids or end - start == 1:
-                            yes = pairs.get((last[start], piece))
-                            if test(last[start], piece) if yes is None else yes:
-                                found = piece
-                                break
-                    top = 0.0
-                else:
-                    for start in range(max(0, end - self.longest), end):
-                        piece = word[start:end]
-                        s = score.get(piece, self.lowest if end - start == 1 else None)
-                        if s is not None and best[start] + s > top:
-                            found, top = piece, best[start] + s
+                for start in range(max(0, end - self.longest), end):
+                    piece = word[start:end]
+                    s = score.get(piece, self.lowest if end - start == 1 else None)
+                    if s is not None and best[start] + s > top:
+                        found, top = piece, best[start] + s
                 last.append(found)
                 best.append(top)
             held, at, parts = word, len(word), []
