@@ -20,6 +20,14 @@ def test_equals_the_library():
         assert codec.decode(ids.tolist()) == lib.decode(ids.tolist())
 
 
+def test_words_without_a_compatible_piece_are_merged_by_definition(monkeypatch):
+    lib, codec = spm.SentencePieceProcessor(model_file=PATH), Codec(PATH)
+    monkeypatch.setattr(codec, "compatible", lambda pair: False)
+    texts = [t for t in ODD if len(t) < 100] + ["hello hellish help", "été 梦x"]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == lib.encode(text), repr(text)
+
+
 def unigram(scores):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
