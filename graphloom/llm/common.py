@@ -66,11 +66,6 @@ def discard(*frames: DataFrame | None) -> None:
 _held: dict = {}
 
 
-def token() -> str:
-    """A name for a model that tasks of one Python worker share."""
-    return uuid.uuid4().hex
-
-
 def cached(name: str, build):
     """What build() gave the first time in this process; only the last name's is kept, so old models go."""
     if name not in _held:
@@ -79,6 +74,18 @@ def cached(name: str, build):
     return _held[name]
 
 
+class Held:
+    """What build() gives, made once in a Python worker and kept for as long as its tasks need the broadcast of this."""
+
+    def __init__(self, build):
+        self.build, self.own = build, None
+
+    def get(self):
+        if self.own is None:
+            self.own = self.build()
+        return self.own
+
+
 def fold(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, cached, fold, load, ship, token
+from graphloom.llm.common import WORD, fold, load, ship
 
 UNKNOWN = "und"
 CACHE, FLUSH = 100_000, 50_000
@@ -47,48 +49,95 @@ def _units(longest: int):
     return run
 
 
+class Units:
+    """Row numbers of strings, held as arrays: about a sixth of what a dict of them takes. Equal hashes are told apart by the strings."""
+
+    def __init__(self, names: list[str], rows: list[int]):
+        found = [x.encode() for x in names]
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[by], np.array(rows, np.int32)[by]
+        self.starts = np.concatenate([[0], np.cumsum([len(found[i]) for i in by], dtype=np.int64)])
+        self.joined = b"".join([found[i] for i in by])
+
+    def get(self, name: str) -> int | None:
+        own = name.encode()
+        key = np.uint64(xxhash.xxh3_64_intdigest(own))
+        for i in range(self.keys.searchsorted(key), self.keys.searchsorted(key, "right")):
+            if self.joined[self.starts[i] : self.starts[i + 1]] == own:
+                return int(self.rows[i])
+        return None
+
+    def find(self, names: list[str]) -> list[int | None]:
+        """get() of each name."""
+        if not len(self):
+            return [None] * len(names)
+        found = [x.encode() for x in names]
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+        i = np.minimum(self.keys.searchsorted(keys), len(self) - 1)
+        each = zip(names, found, (self.keys[i] == keys).tolist(), self.starts[i].tolist(), self.starts[i + 1].tolist(), self.rows[i].tolist(), strict=True)
+        return [(row if self.joined[a:b] == own else self.get(name)) if same else None for name, own, same, a, b, row in each]
+
+    def __getitem__(self, name: str) -> int:
+        if (i := self.get(name)) is None:
+            raise KeyError(name)
+        return i
+
+    def __iter__(self):
+        return (self.joined[a:b].decode() for a, b in pairwise(self.starts.tolist()))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
 class Model:
-    """Log relative frequencies of words and n-grams by language."""
+    """Log relative frequencies of words and n-grams by language. It is pickled without what it remembers of texts."""
 
     def __init__(self, langs: list[str], longest: int, units: list[tuple[str, str]], logs: np.ndarray):
-        self.langs, self.longest, self.logs = langs, longest, logs
-        self.words = {u: i for i, (k, u) in enumerate(units) if k == "w"}
-        self.grams = {u: i for i, (k, u) in enumerate(units) if k != "w"}
-        self.absent = logs.min(axis=0) - 1.0 if len(logs) else np.zeros(len(langs), np.float32)
+        words, grams = ([i for i, (k, _) in enumerate(units) if (k == "w") == own] for own in (True, False))
+        self.__setstate__((langs, longest, *(Units([units[i][1] for i in of], of) for of in (words, grams)), logs))
+
+    def __getstate__(self):
+        return self.langs, self.longest, self.words, self.grams, self.logs
+
+    def __setstate__(self, state) -> None:
+        self.langs, self.longest, self.words, self.grams, logs = state
+        self.absent = logs.min(axis=0) - 1.0 if len(logs) else np.zeros(len(self.langs), np.float32)
+        self.rows = np.concatenate([logs, np.zeros((CACHE, len(self.langs)), np.float32)])
+        self.logs = self.rows[: len(logs)]
         self._clear()
 
     def _clear(self) -> None:
-        self.place, self.rows, self.size = dict(self.words), np.concatenate([self.logs, np.zeros((CACHE, len(self.langs)), np.float32)]), len(self.logs)
+        self.place, self.size, self.most = {}, len(self.logs), len(self.rows) - len(self.logs)
 
-    def _unseen(self, word: str) -> int:
-        if self.size == len(self.rows):
+    def _take_in(self, part: list[str]) -> None:
+        """Gives each of at most `most` words a place, and unseen ones a row."""
+        new = [w for w in dict.fromkeys(part) if w not in self.place]
+        if len(self.place) + len(new) > self.most:
             self._clear()
-        row, get = self.absent, self.grams.get
+            new = list(dict.fromkeys(part))
+        for word, at in zip(new, self.words.find(new), strict=True):
+            if at is None:
+                at = self.size
+                self.rows[at] = self._unseen(word)
+                self.size += 1
+            self.place[word] = at
+
+    def _unseen(self, word: str) -> np.ndarray:
         # The longest n-grams of which the model knows any decide; those it doesn't know there count as absent.
         for n in range(min(self.longest, len(word) + 2), 0, -1):
-            at = [get(g) for g in _grams(word, n)]
+            at = self.grams.find(_grams(word, n))
             known = [i for i in at if i is not None]
             if known:
-                row = (self.logs[known].sum(axis=0) + (len(at) - len(known)) * self.absent) / len(at)
-                break
-        self.rows[self.size] = row
-        self.place[word] = self.size
-        self.size += 1
-        return self.size - 1
+                return (self.logs[known].sum(axis=0) + (len(at) - len(known)) * self.absent) / len(at)
+        return self.absent
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of it in the softmax over the mean scores of the words)."""
-        total, n, part = np.zeros(len(self.langs)), 0, []
-        for m in WORD.finditer((text or "").lower()):
-            i = self.place.get(m[0])
-            if i is None:
-                if self.size == len(self.rows):  # the cache starts anew, so its rows are added first
-                    total, n, part = total + self.rows[part].sum(axis=0, dtype=float), n + len(part), []
-                i = self._unseen(m[0])
-            part.append(i)
-            if len(part) == 1 << 16:
-                total, n, part = total + self.rows[part].sum(axis=0, dtype=float), n + len(part), []
-        total, n = total + self.rows[part].sum(axis=0, dtype=float), n + len(part)
+        total, n, words = np.zeros(len(self.langs)), 0, WORD.finditer((text or "").lower())
+        while part := [m[0] for m in islice(words, min(self.most, 1 << 16))]:
+            self._take_in(part)
+            total, n = total + self.rows[[self.place[w] for w in part]].sum(axis=0, dtype=float), n + len(part)
         if not self.langs or not n:
             return UNKNOWN, 0.0
         mean = total / n
@@ -131,17 +180,10 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    units = [(k, u) for k, of in (("w", model.words), ("g", model.grams)) for u in of]
-    logs = model.logs[[of[u] for of in (model.words, model.grams) for u in of]] if units else model.logs
-    name, sent = token(), spark.sparkContext.broadcast((model.langs, model.longest, "\0".join(u for _, u in units), len(model.words), logs))
-
-    def loaded():
-        langs, longest, joined, n, logs = sent.value
-        names = joined.split("\0") if joined else []
-        return Model(langs, longest, [("w" if i < n else "g", u) for i, u in enumerate(names)], logs)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        own = cached(name, loaded)
+        own = sent.value  # a worker's tasks share it, and it goes with the last that needs it
         for batch in batches:
             found = [own.predict(x.as_py()) for x in batch.column(0)]
             arrays = [*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]

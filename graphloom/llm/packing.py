@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import cached, load, materialize, ship
+from graphloom.llm.common import Held, load, materialize, ship
 
 #: Fixed values of the byte-level BPE vocabulary: the pattern that splits a text before merging, and its special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,7 +135,7 @@ def pieces(docs: DataFrame, most: int, end: int, path: str, ranks: str | None) -
     """Every piece of docs, with the task it was cut in (part) and its rank among the pieces of its length there (nth)."""
 
     def run(batches):
-        encoder = cached(f"ids of {path} {ranks}", lambda: Encoder(path, ranks))
+        encoder = sent.value.get()
         part, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
@@ -147,6 +148,7 @@ def pieces(docs: DataFrame, most: int, end: int, path: str, ranks: str | None) -
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(Held(partial(Encoder, path, ranks)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 

@@ -138,3 +138,51 @@ def test_held_out_accuracy(spark):
     held = [i for i, r in got.items() if r.held_out]
     assert len(got) == len(true) and held
     assert sum(got[i].lang_pred == true[i] for i in held) >= 0.95 * len(held)
+
+
+def test_a_model_takes_little_memory():
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+
+    units = [("w", f"word{i}") for i in range(200_000)] + [("4", f"g{i}") for i in range(1000)]
+    sent = pickle.dumps(langid.Model(["a", "b"], 4, units, np.zeros((len(units), 2), np.float32)))
+    tracemalloc.start()
+    own = pickle.loads(sent)
+    assert own.predict("word word") == ("a", 0.5)
+    assert tracemalloc.get_traced_memory()[0] < 60 * len(units)
+    tracemalloc.stop()
+    assert [own.words[f"word{i}"] for i in (0, 7, 199_999)] == [0, 7, 199_999] and own.grams["g5"] == 200_005
+
+
+def test_units_of_equal_hash_are_told_apart(monkeypatch):
+    names = ["a", "bb", "", "ccc", "हि", "dd"]
+    for hash_ in (None, lambda data: 7):
+        if hash_:
+            monkeypatch.setattr(langid.xxhash, "xxh3_64_intdigest", hash_)
+        units = langid.Units(names, [9, 8, 7, 6, 5, 4])
+        assert units.find([*names, "b", "cc", "a"]) == [9, 8, 7, 6, 5, 4, None, None, 9]
+        assert sorted(units) == sorted(names) and units["dd"] == 4 and units.get("x") is None
+
+
+def held_by_workers(spark, kind):
+    """Objects of a class of this package in the Python workers, counted by tasks that need none."""
+
+    def run(batches):
+        import gc
+
+        import pyarrow as pa
+
+        n = sum(type(x).__name__ == kind and type(x).__module__.startswith("graphloom.") for x in gc.get_objects())
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return sum(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(run, "n long").collect())
+
+
+def test_workers_let_go_of_the_model(spark):
+    model = fit(spark, rows())
+    df = spark.createDataFrame([(i, "the cat") for i in range(80)], "doc_id long, text string").repartition(8)
+    assert langid.predict(df, model, ["doc_id"]).where("lang_pred = 'en'").count() == 80
+    assert held_by_workers(spark, "Model") == 0

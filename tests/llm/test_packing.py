@@ -103,3 +103,20 @@ def test_the_faster_library_gives_the_same_ids():
         kinds = [lambda: rng.randint(32, 126), lambda: rng.choice([9, 10, 13, 32, 160, 0x2003]), lambda: rng.randint(0x80, 0xD7FF), lambda: rng.randint(0xE000, 0x10FFFF)]
         text = "".join(chr(rng.choice(kinds)()) for _ in range(rng.randint(0, 60)))
         assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_let_go_of_the_vocabulary(spark):
+    files = packing.files()
+    df = spark.createDataFrame([(i, "some text") for i in range(80)], "doc_id long, text string").repartition(8)
+    assert packing.pieces(df, 1024, 2, **files).count() == 80
+
+    def run(batches):
+        import gc
+
+        import pyarrow as pa
+
+        n = sum(type(x).__name__ == "Encoder" and type(x).__module__.startswith("graphloom.") for x in gc.get_objects())
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    assert sum(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(run, "n long").collect()) == 0
