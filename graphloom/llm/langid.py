@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import WORD, fold, load, ship
 
 UNKNOWN = "und"
-CACHE, FLUSH = 100_000, 50_000
+CACHE, FLUSH, PART = 100_000, 50_000, 1 << 12
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -70,7 +70,7 @@ class Units:
 
     def find(self, names: list[str]) -> list[int | None]:
         """get() of each name."""
-        if not len(self):
+        if not (len(self) and names):
             return [None] * len(names)
         found = [x.encode() for x in names]
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
@@ -116,26 +116,32 @@ class Model:
         if len(self.place) + len(new) > self.most:
             self._clear()
             new = list(dict.fromkeys(part))
-        for word, at in zip(new, self.words.find(new), strict=True):
-            if at is None:
-                at = self.size
-                self.rows[at] = self._unseen(word)
-                self.size += 1
-            self.place[word] = at
-
-    def _unseen(self, word: str) -> np.ndarray:
+        found = dict(zip(new, self.words.find(new), strict=True))
+        unseen = [w for w, at in found.items() if at is None]
+        self.rows[self.size : self.size + len(unseen)] = self._unseen(unseen)
+        found.update(zip(unseen, range(self.size, self.size + len(unseen)), strict=True))
+        self.size += len(unseen)
+        self.place.update(found)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        out, left = np.tile(self.absent, (len(words), 1)), list(range(len(words)))
         # The longest n-grams of which the model knows any decide; those it doesn't know there count as absent.
-        for n in range(min(self.longest, len(word) + 2), 0, -1):
-            at = self.grams.find(_grams(word, n))
-            known = [i for i in at if i is not None]
-            if known:
-                return (self.logs[known].sum(axis=0) + (len(at) - len(known)) * self.absent) / len(at)
-        return self.absent
+        for n in range(self.longest, 0, -1):
+            grams = [_grams(words[i], n) for i in left]
+            found, still = iter(self.grams.find([g for of in grams for g in of])), []
+            for i, of in zip(left, grams, strict=True):
+                known = [at for at in islice(found, len(of)) if at is not None]
+                if known:
+                    out[i] = (self.logs[known].sum(axis=0) + (len(of) - len(known)) * self.absent) / len(of)
+                else:
+                    still.append(i)
+            left = still
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of it in the softmax over the mean scores of the words)."""
         total, n, words = np.zeros(len(self.langs)), 0, WORD.finditer((text or "").lower())
-        while part := [m[0] for m in islice(words, min(self.most, 1 << 16))]:
+        while part := [m[0] for m in islice(words, min(self.most, PART))]:
             self._take_in(part)
             total, n = total + self.rows[[self.place[w] for w in part]].sum(axis=0, dtype=float), n + len(part)
         if not self.langs or not n:
