@@ -62,14 +62,22 @@ def neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | str | None,
     return found.distinct().join(nodes.select("id", "labels"), "id").select("seed", "id", "labels")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(id, out_degree, in_degree) of every end of an edge; a repeated edge row counts once.
+def ends(rows: DataFrame, ids: list[str], end: str, out: bool, parts: int | None = None) -> DataFrame:
+    """(id, out_degree, in_degree), 1 and 0, of one end of edges known by the columns ids; a repeated edge counts once.
+
+    Edges meet by their ids for that, not by end, in `parts` tasks if given; sums by end then start before the
+    shuffle, so a hub is no single task."""
+    once = rows.select(*dict.fromkeys([*ids, end]))
+    once = (once.repartition(parts, *ids) if parts else once).distinct()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return once.select(F.col(end).alias("id"), (one if out else none).alias("out_degree"), (none if out else one).alias("in_degree"))
 
-    Edges meet by their id for that, and the two ends are then summed before they are shuffled by node: a hub is no
-    single task."""
-    once = edges.select("id", "src", "dst").distinct()
-    ends = once.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e"))
-    return ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.out").cast("long").alias("out_degree"), F.sum(1 - F.col("e.out")).cast("long").alias("in_degree"))
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, out_degree, in_degree) of every end of an edge; at each end, rows of one edge id count once. Over tables
+    whose keys are known, `sources.tables.degrees` takes those in place of texts."""
+    both = ends(edges, ["id"], "src", True).union(ends(edges, ["id"], "dst", False))
+    return both.groupBy("id").agg(F.sum("out_degree").alias("out_degree"), F.sum("in_degree").alias("in_degree"))
 
 
 def adjacency(edges: DataFrame, end: str = "src") -> DataFrame:

@@ -54,6 +54,57 @@ def test_loops_parallel_edges_and_missing_ends(spark):
     assert ids(left) == ["1"] and ids(edges) == ["a", "d"]
 
 
+def business(spark, at, **rows):
+    """Tables of a few rows in a new folder: name=(schema, rows)."""
+    for name, (schema, own) in rows.items():
+        spark.createDataFrame(own, schema).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def few(spark, at):
+    return business(
+        spark, at,
+        customer=("c_custkey long, c_nationkey int", [(1, 1), (2, 1), (2, 1)]), supplier=("s_suppkey long, s_nationkey int", [(1, 2)]), part=("p_partkey long", [(1,), (2,)]),
+        orders=("o_orderkey long, o_custkey long", [(5, 1), (5, 2), (5, 2), (6, 1)]), nation=("n_nationkey int, n_regionkey int", [(1, 0), (2, 0)]), region=("r_regionkey int", [(0,)]),
+        lineitem=("l_orderkey long, l_partkey long, l_suppkey long, l_quantity double", [(5, 1, 1, 1.0), (5, 1, 1, 1.0), (5, 2, 1, 1.0), (6, 2, 1, 1.0), (7, 9, 9, 1.0)]),
+    )
+
+
+def by_sql(at, name, columns):
+    import duckdb
+
+    from graphloom.plans.queries import SQL
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet/*.parquet'")
+    return sorted(con.execute(f"select {', '.join(columns)} from ({SQL[name]})").fetchall())
+
+
+def test_degrees_by_keys_hold_no_texts_and_equal_sql(spark, tmp_path):
+    from graphloom.plans.queries import QUERIES
+
+    found = QUERIES["degrees"](spark, few(spark, tmp_path / "few"))
+    # An order repeated under two customers is one edge at its own end.
+    assert {tuple(r) for r in found.where("id like 'order:%'").collect()} == {("order:5", 2, 1), ("order:6", 1, 1), ("order:7", 1, 0)}
+    assert sorted(map(tuple, found.collect())) == by_sql(tmp_path / "few", "degrees", found.columns)
+    # No text is a key of an aggregate or of a shuffle.
+    held = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in x or "Exchange" in x]
+    assert held and not [x for x in held if "concat" in x or "contains:" in x or "src#" in x]
+
+
+def test_degrees_deal_a_large_table_to_more_tasks(spark, tmp_path, monkeypatch):
+    from graphloom.sources import tables
+
+    at = few(spark, tmp_path / "few")
+    want = sorted(map(tuple, tables.degrees(spark, at).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 1)
+    assert tables.tasks(tables.table(spark, at, "lineitem")) == 5
+    found = tables.degrees(spark, at)
+    assert "l_partkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 5), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_k_hop_counts_the_shortest_way(spark):
     from graphloom.session import ensure_checkpoints
 
