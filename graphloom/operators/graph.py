@@ -107,23 +107,37 @@ def two_hops(edges: DataFrame, first: str, second: str) -> DataFrame:
     return found.select(F.array("n0", "n1", "n2").alias("nodes"), F.array("e0", "e1").alias("edges")).withColumn("length", F.size("edges"))
 
 
+#: Frontiers of a label up to so many ids are broadcast to the edges; larger ones are joined.
+BROADCAST_IDS = 200_000
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int, direction: Direction | int = Direction.BOTH) -> DataFrame:
-    """(id, distance) of all nodes within k edges of a seed. Each step's frontier is checkpointed, so the plan stays
-    short; steps end with an empty frontier."""
-    pairs = []
+    """(id, distance) of all nodes within k edges of a seed."""
+    steps = []
     if direction in (0, 2):
-        pairs.append(edges.select(F.col("src").alias("at"), F.col("dst").alias("id")))
+        steps.append(("", "", edges.select(F.col("src").alias("at"), F.col("dst").alias("id"))))
     if direction in (1, 2):
-        pairs.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("id")))
-    if not pairs:
-        return seeds.select("id").distinct().withColumn("distance", F.lit(0))
-    steps = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1])
-    seen = frontier = seeds.select("id").distinct().withColumn("distance", F.lit(0)).checkpoint()
+        steps.append(("", "", edges.select(F.col("dst").alias("at"), F.col("src").alias("id"))))
+    return hops(steps, seeds.select(F.lit("").alias("label"), "id"), k).drop("label")
+
+
+def hops(steps: list[tuple[str, str, DataFrame]], seeds: DataFrame, k: int) -> DataFrame:
+    """(label, id, distance) of all nodes within k steps of a seed (label, id). steps: from a label, to a label, and the
+    pairs (at, id) of edges; pairs may repeat. A step is taken only from labels that the frontier has, so other edges
+    are not read. Each frontier is checkpointed and counted by label, so the plan stays short; steps end with an empty
+    frontier."""
+    seen = frontier = seeds.select("label", "id").distinct().withColumn("distance", F.lit(0)).checkpoint()
     for distance in range(1, k + 1):
-        reached = steps.join(frontier.select(F.col("id").alias("at")), "at").select("id").distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)).checkpoint()
-        if frontier.isEmpty():
+        counts = {r["label"]: r["count"] for r in frontier.groupBy("label").count().collect()}
+        reached = None
+        for near, far, pairs in steps:
+            if near in counts:
+                ids = frontier.where(F.col("label") == near).select(F.col("id").alias("at"))
+                own = pairs.join(F.broadcast(ids) if counts[near] <= BROADCAST_IDS else ids, "at", "left_semi").select(F.lit(far).alias("label"), "id")
+                reached = own if reached is None else reached.union(own)
+        if reached is None:
             break
+        frontier = reached.distinct().join(seen.select("label", "id"), ["label", "id"], "left_anti").withColumn("distance", F.lit(distance)).checkpoint()
         seen = seen.union(frontier)
     return seen
 

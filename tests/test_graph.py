@@ -124,6 +124,33 @@ def test_k_hop_counts_the_shortest_way(spark):
     assert got == want
 
 
+def test_k_hop_reads_edges_of_the_frontiers_labels_alone(spark, tmp_path):
+    from graphloom.session import ensure_checkpoints
+    from graphloom.sources import tables
+
+    ensure_checkpoints(spark)
+    at = few(spark, tmp_path / "few")
+    e = tables.edges(spark, at)
+    for seed, k in (("nation:1", 3), ("part:9", 3), ("region:0", 2), ("nowhere", 2), ("nation:8", 1)):
+        want = graph.k_hop(e, spark.createDataFrame([(seed,)], "id string"), k)
+        assert sorted(map(tuple, tables.k_hop(spark, at, seed, k).collect())) == sorted(map(tuple, want.collect())), seed
+    (tmp_path / "few/lineitem.parquet").rename(tmp_path / "few/away")
+    business(spark, at, lineitem=("l_orderkey string, l_partkey string, l_suppkey string", [("read", "read", "read")]))
+    # No hop from nations leads over line items; a read of these keys fails.
+    assert ("customer:2", 1) in {tuple(r) for r in tables.k_hop(spark, at, "nation:1", 1).collect()}
+
+
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_k_hop_joins_what_it_does_not_broadcast(spark, tmp_path, monkeypatch, bound):
+    from graphloom.session import ensure_checkpoints
+    from graphloom.sources import tables
+
+    ensure_checkpoints(spark)
+    monkeypatch.setattr(graph, "BROADCAST_IDS", bound)
+    got = {r.id: r.distance for r in tables.k_hop(spark, few(spark, tmp_path / "few"), "nation:1", 3).collect()}
+    assert got == {"nation:1": 0, "customer:1": 1, "customer:2": 1, "region:0": 1, "order:5": 2, "order:6": 2, "nation:2": 2, "part:1": 3, "part:2": 3, "supplier:1": 3}
+
+
 def test_directions_mirror_each_other(spark):
     n, e = people(spark), links(spark)
     out = {(r.seed, r.id) for r in graph.neighbors(n, e, n, Direction.OUT).collect()}
