@@ -85,18 +85,25 @@ def adjacency(edges: DataFrame, end: str = "src") -> DataFrame:
     return edges.groupBy(F.col(end).alias("id")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("edges"))
 
 
-def checked_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """candidates with `reason`: source or target, whichever is first found missing, else null."""
-    ids = nodes.select("id").distinct()
-    known = lambda end: ids.select(F.col("id").alias(f"_{end}_"))
-    found = candidates.join(known("src"), F.col("src") == F.col("_src_"), "left").join(known("dst"), F.col("dst") == F.col("_dst_"), "left")
+def _known(candidates: DataFrame, nodes: DataFrame, end: str, how: str) -> DataFrame:
+    """candidates joined with the ids of nodes by an end; `_src_` or `_dst_` is the id found."""
+    return candidates.join(nodes.select(F.col("id").alias(f"_{end}_")).distinct(), F.col(end) == F.col(f"_{end}_"), how)
+
+
+def checked_edges(candidates: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """candidates with `reason`: source or target, whichever is first found missing, else null.
+
+    Ids are of any type, those of nodes that of src; targets, if given, are the nodes that dst is looked up among. Where
+    all ends have one label its keys can stand for texts, which are longer to shuffle."""
+    found = _known(_known(candidates, nodes, "src", "left"), nodes if targets is None else targets, "dst", "left")
     return found.withColumn("reason", F.when(F.col("_src_").isNull(), "source").when(F.col("_dst_").isNull(), "target")).drop("_src_", "_dst_")
 
 
-def create_edges(candidates: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): candidates with both ends among nodes, and the others with a reason."""
-    found = checked_edges(candidates, nodes)
-    return found.where("reason is null").drop("reason"), found.where("reason is not null")
+def create_edges(candidates: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): candidates with both ends among nodes, and the others with a reason. Of the valid ones alone,
+    a candidate without a source is not looked up by its target."""
+    valid = _known(_known(candidates, nodes, "src", "left_semi"), nodes if targets is None else targets, "dst", "left_semi")
+    return valid, checked_edges(candidates, nodes, targets).where("reason is not null")
 
 
 def two_hops(edges: DataFrame, first: str, second: str) -> DataFrame:

@@ -105,6 +105,22 @@ def test_degrees_deal_a_large_table_to_more_tasks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want
 
 
+def test_created_edges_are_looked_up_by_keys_and_equal_sql(spark, tmp_path):
+    from graphloom.plans.queries import QUERIES
+
+    at = few(spark, tmp_path / "few")
+    for name, n in (("create_edges_valid", 2), ("create_edges_rejected", 2)):
+        found = QUERIES[name](spark, at)
+        assert (rows := sorted(map(tuple, found.collect()))) and len(set(rows)) == n, name
+        # Repeated nodes give no repeated edges here, in SQL they do.
+        assert rows == sorted(set(by_sql(at, name, found.columns))), name
+        held = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x or "Exchange" in x]
+        assert held and not [x for x in held if "concat" in x or "id#" in x and "order:" in x]
+        assert dict(found.select("src").dtypes)["src"] == "string" and "_src_" not in found.columns
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert text.index("concat") < text.index("Join") and "concat" not in text[text.index("Join") :], name
+
+
 def test_k_hop_counts_the_shortest_way(spark):
     from graphloom.session import ensure_checkpoints
 
